@@ -1,0 +1 @@
+"""All operators of this library work on bounded tables; none keeps state over an unbounded one, so nothing is defined here."""
