@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` that hold about SLICE_BYTES of ``column`` each (one row at least)."""
     sizes = batch.column(column)
     first, held = 0, 0
-    lengths = pa.compute.binary_length(sizes).fill_null(0).to_pylist()
+    lengths = pc.binary_length(sizes).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if held and held + n > SLICE_BYTES:
             yield first, i

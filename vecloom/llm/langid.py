@@ -103,7 +103,7 @@ def fit_counts(langs: list[str], counts: np.ndarray, smooth: float = SMOOTH) ->
         for b in range(code.shape[1]):
             weights[:, b] = np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0))
         trust = np.maximum(code * (p @ weights), 1e-9)
-        trust = trust / trust.sum(1, keepdims=True) * code.shape[1]
+        trust = trust / trust.sum(1, keepdims=True)
     return Model(langs, code, weights, trust)
 
 
