@@ -102,6 +102,20 @@ class Index:
                     yield item_id, copies, len(parts), shared
 
 
+def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, int, bytes]]]:
+    """Distinct item texts, (smallest item_id, number, text), in blocks of about ``block_bytes``."""
+    distinct = only(items, "item_id", "text").filter("text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"), F.count("*").alias("copies"))
+    block, held = [], 0
+    for item in distinct.toLocalIterator():
+        text = item["text"].encode()
+        if block and held + len(text) > block_bytes:
+            yield block
+            block, held = [], 0
+        block.append((item["item_id"], item["copies"], text))
+        held += len(text)
+    yield block
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, copies, item_shingles, shared, containment) for each document row and distinct item text that it leaks.
 
@@ -111,7 +125,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshol
     """
     spark = docs.sparkSession
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    distinct = only(items, "item_id", "text").filter("text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"), F.count("*").alias("copies"))
     schema = "doc_id long, item_id long, copies long, item_shingles long, shared long, containment double"
 
     def scan(block: list) -> DataFrame:
@@ -132,19 +145,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshol
 
         return rows.mapInArrow(run, schema)
 
-    block, held, found = [], 0, None
-    for item in distinct.toLocalIterator():
-        text = item["text"].encode()
-        if block and held + len(text) > block_bytes:
-            part = stored(scan(block), "leaks")  # so that one block is in memory at a time
+    found, held = None, None
+    for block in item_blocks(items, block_bytes):
+        if held is not None:
+            part = stored(scan(held), "leaks")  # so that one block is in memory at a time
             found = part if found is None else found.unionByName(part)
-            block, held = [], 0
-        block.append((item["item_id"], item["copies"], text))
-        held += len(text)
-    last = scan(block)
+        held = block
+    last = scan(held)
     return last if found is None else found.unionByName(last)
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns; decided row by row in one scan for each block."""
+    spark = docs.sparkSession
+    for block in item_blocks(items, block_bytes):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, made={}) -> Iterator[pa.RecordBatch]:  # noqa: B006  one index a task
+            if "index" not in made:
+                made["index"] = Index(sent.value, width, threshold)
+            for batch in batches:
+                for a, b in slices(batch, "text"):
+                    clean = [next(made["index"].leaks(text), None) is None for text in texts(batch, "text", a, b)]
+                    yield batch.slice(a, b - a).filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
