@@ -78,13 +78,13 @@ def keyed(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:
-    """Row ranges of ``batch`` that hold about SLICE_BYTES of ``column`` each (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of ``batch`` that hold about ``size`` bytes of ``column`` each (one row at least)."""
     sizes = batch.column(column)
     first, held = 0, 0
     lengths = pc.binary_length(sizes).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > size:
             yield first, i
             first, held = i, 0
         held += n

@@ -9,12 +9,16 @@ reads any range from the blocks that hold it. Starts in the whole order are the
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +31,14 @@ BLOCK_IDS = 4096
 FRAMES_PER_FILE = 4
 MAGIC = b"VLTOK1\0\0"
 HEAD = struct.Struct("<8sQIIIQQII")
-#: Units of text whose ids a worker remembers.
-CACHE_UNITS = 400_000
+#: Units of text whose ids a worker remembers (some 60 bytes each), and of those the new ones (some 250 bytes each).
+CACHE_UNITS = 600_000
+NEW_UNITS = 200_000
+#: Texts are encoded in slices of this size.
+ENCODE_BYTES = 3 << 20
+#: White space outside ASCII.
+OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+STEM = re.compile(r"( ?[^\W_]+)([.,]\n?)")
 BROADCAST_SHARDS = 200_000
 
 
@@ -110,41 +120,95 @@ def frames(data: bytes) -> Iterator[Frame]:
         at += made.size + 1
 
 
+def listed(parts: list[bytes]) -> pa.ListArray:
+    """Packed 32-bit ids as an Arrow list each."""
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.uint32)))
+
+
 class Encoder:
-    """Whole texts to ids. Ids of a text are those of its units in a row: a unit begins at a single space between two
-    other characters, where the tokenizer always splits, so units seen before need no new encoding."""
+    """Whole texts to ids. Ids of a text are those of its units in a row, so units seen before need no new encoding.
 
-    def __init__(self, path: str):
-        import os
-        import re
+    A unit begins at a single space, or after a single line feed, between two characters that are not white space: the
+    tokenizer always splits there. A new unit that is letters and digits with a full stop or comma behind is split again.
+    Texts with other white space are encoded whole. Known units are an Arrow table, looked up a slice of texts at a time;
+    units new since it was made are in a dict.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
-        self.odd = re.compile(r"^\s|\s\Z|\s | \s")
-        self.cache: dict[str, bytes] = {}
+        self.batch = self.tok.encode_batch_fast if hasattr(self.tok, "encode_batch_fast") else self.tok.encode_batch
+        self.new: dict[str, bytes] = {}
+        self.keys, self.table, self.used = pa.array([], pa.string()), listed([]), np.zeros(0, np.int64)
 
     def many(self, parts: list[str]) -> list[bytes]:
-        batch = self.tok.encode_batch_fast if hasattr(self.tok, "encode_batch_fast") else self.tok.encode_batch
-        return [np.array(e.ids, np.uint32).tobytes() for e in batch(parts, add_special_tokens=False)]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        split, whole = [], []
-        for text in batch:
-            units = None if not text or self.odd.search(text) else text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            split.append(units)
-            whole.append(text if units is None else None)
-        missing = list({u for units in split if units for u in units} - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_UNITS:
-            self.cache.clear()
-            missing = list({u for units in split if units for u in units})
-        self.cache.update(zip(missing, self.many(missing)))
-        rest = iter(self.many([t for t in whole if t is not None]))
-        get = self.cache.__getitem__
-        return [next(rest) if units is None else b"".join(map(get, units)) for units in split]
+        return [array("I", e.ids).tobytes() for e in self.batch(parts, add_special_tokens=False)]
+
+    @staticmethod
+    def regular(text: str) -> bool:
+        """No white space but single spaces and line feeds between other characters."""
+        odd = any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0") or not text.isascii() and OTHER_SPACE.search(text)
+        return not (odd or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] == " " or text[-1:] == " ")
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        """Ids of units that the settled table lacks."""
+        new = self.new
+        missing = [u for u in units if u not in new]
+        parts = {u: m.groups() for u in missing if (m := STEM.fullmatch(u))}
+        fresh = list({x for m in parts.values() for x in m}.union(u for u in missing if u not in parts).difference(new))
+        new.update(zip(fresh, self.many(fresh)))
+        for u, (stem, tail) in parts.items():
+            new[u] = new[stem] + new[tail]
+        return list(map(new.__getitem__, units))
+
+    def settle(self) -> None:
+        """Move new units to the table, with those of its own that most slices used."""
+        best = np.argsort(-self.used, kind="stable")[: CACHE_UNITS - NEW_UNITS]
+        best = pa.array(np.sort(best[self.used[best] > 0]))
+        units, ids = listed(list(self.new.values())), pa.array(list(self.new), pa.string())
+        self.keys = pa.concat_arrays([self.keys.take(best), ids])
+        self.table = pa.concat_arrays([self.table.take(best), units])
+        self.used = np.zeros(len(self.keys), np.int64)
+        self.new = {}
+
+    def encode_regular(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.new) > NEW_UNITS:
+            self.settle()
+        split = pc.split_pattern(pc.replace_substring(pc.replace_substring(batch, "\n", "\n\0"), " ", "\0 "), "\0")
+        coded = split.values.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.keys)
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        lacking = np.flatnonzero(place < 0)
+        self.used[place[place >= 0]] += 1
+        fresh = listed(self.learn(coded.dictionary.take(pa.array(lacking)).to_pylist()))
+        place[lacking] = len(self.table) + np.arange(len(lacking))
+        table = pa.concat_arrays([self.table, fresh])
+        sizes = np.diff(table.offsets.to_numpy()).astype(np.int64)
+        index = place[coded.indices.to_numpy()]
+        total = np.concatenate(([0], np.cumsum(sizes[index])))
+        return table.take(pa.array(index)).values.to_numpy(), np.diff(total[split.offsets.to_numpy()])
+
+    def encode(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number for each text."""
+        batch = batch.cast(pa.string())
+        plain = np.fromiter((self.regular(t.as_py()) for t in batch), bool, len(batch))
+        if plain.all() and len(batch):
+            return self.encode_regular(pa.concat_arrays([batch]))
+        each: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(batch)
+        if plain.any():
+            ids, counts = self.encode_regular(batch.filter(pa.array(plain)))
+            for i, part in zip(np.flatnonzero(plain), np.split(ids, np.cumsum(counts)[:-1])):
+                each[i] = part
+        rest = np.flatnonzero(~plain)
+        for i, ids in zip(rest, self.many(batch.take(pa.array(rest)).to_pylist())):
+            each[i] = np.frombuffer(ids, np.uint32)
+        return np.concatenate(each) if each else np.zeros(0, np.uint32), np.array([len(e) for e in each], np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -163,26 +227,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        bits, end = bits_for(max(enc.vocab, end_id + 1)), np.array([end_id], np.uint32).tobytes()
+        bits, end = bits_for(max(enc.vocab, end_id + 1)), np.uint32(end_id)
         number = before = held = 0
         doc_ids, ends, parts = [], [], []
 
         def done():
-            ids = np.frombuffer(b"".join(parts), np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([frame(shard, number, before, doc_ids, ends, ids, bits)], pa.binary())], ["frame"])
+            return pa.RecordBatch.from_arrays([pa.array([frame(shard, number, before, doc_ids, ends, np.concatenate(parts), bits)], pa.binary())], ["frame"])
 
         for batch in batches:
-            for a, b in slices(batch, "text"):
+            for a, b in slices(batch, "text", ENCODE_BYTES):
                 part = batch.slice(a, b - a)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
-                    parts += [ids, end]
-                    held += len(ids) // 4 + 1
-                    doc_ids.append(doc_id)
-                    ends.append(held)
-                    if held >= FRAME_IDS:
-                        yield done()
-                        number, before, held = number + 1, before + held, 0
-                        doc_ids, ends, parts = [], [], []
+                ids, counts = enc.encode(part.column("text"))
+                stops = np.cumsum(counts)
+                parts.append(np.insert(ids, stops, end))
+                ends += (held + stops + np.arange(1, len(stops) + 1)).tolist()
+                doc_ids += part.column("doc_id").to_pylist()
+                held += len(ids) + len(stops)
+                if held >= FRAME_IDS:
+                    yield done()
+                    number, before, held = number + 1, before + held, 0
+                    doc_ids, ends, parts = [], [], []
         if doc_ids:
             yield done()
 
