@@ -9,7 +9,8 @@ maximal repeats; all their occurrences but the first (by doc_id, then start) are
 
 A path is 64 bits of hash, compared only inside a group. A mapper sends each path of a chunk of documents once (its first
 occurrence; later ones in the chunk are known to repeat), so copies and passages found in many documents cost a group
-at most one leaf for each chunk. Documents are never grouped by their content.
+at most one leaf for each chunk. Documents are never grouped by their content. What groups find goes back by bucket of documents,
+one packed row for each group and bucket.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ DEPTHS = (1, 3)
 #: Suffixes of a group: about 10 bytes each while they travel, some 50 while the task sorts them.
 GROUP = 2 << 20
 CELLS = 4096
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Ids of affected documents (16 bytes each) that are broadcast to select their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 NULL_ID = -(1 << 63)
+#: A document's entry in a blob of removals.
+HEAD = np.dtype([("id", np.int64), ("mark", np.int64), ("n", np.int64)])
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -120,7 +123,7 @@ class Chunk:
         h = np.concatenate([d[2] for d in docs]) if docs else np.zeros(0, np.uint64)
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if docs else np.zeros(0, np.int64)
         count = sizes - window + 1
-        self.doc = np.repeat(np.arange(len(docs)), count)
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), count)
         self.start = (np.arange(len(self.doc)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)) if docs else np.zeros(0, np.int64)
         at = self.start + np.repeat(begin, count) if docs else self.start
         self.paths = path_hashes(h, window)[at]
@@ -166,7 +169,7 @@ def removal_runs(rows: DataFrame, window: int = WINDOW, group: int = GROUP, chun
             return b""
         cut = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
         runs = [runs_of(start[a:b]) for a, b in zip(cut, cut[1:])]
-        head = np.zeros(len(runs), [("id", np.int64), ("mark", np.int64), ("n", np.int64)])
+        head = np.zeros(len(runs), HEAD)
         head["id"], head["mark"], head["n"] = doc_ids[doc[cut[:-1]]], marks[doc[cut[:-1]]], [len(r) for r in runs]
         return len(runs).to_bytes(8, "little") + head.tobytes() + np.concatenate(runs).tobytes()
 
@@ -202,23 +205,48 @@ def removal_runs(rows: DataFrame, window: int = WINDOW, group: int = GROUP, chun
             kinds.append(0)
         yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["g", "kind", "leaves"])
 
-    out_schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("runs", pa.list_(pa.int32()))])
+    buckets = max(1, -(-int(counts[-CELLS:].sum()) // group))
 
-    def removals(blobs: list[memoryview]) -> pa.Table:
-        ids, marks, values, ends = [], [], [], []
+    def opened(blobs: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
+        """Heads of all documents' removals and their runs, ordered by document."""
+        heads, values = [], []
         for data in blobs:
             n = int.from_bytes(data[:8], "little")
-            head = np.frombuffer(data, [("id", np.int64), ("mark", np.int64), ("n", np.int64)], n, 8)
-            ids.append(head["id"])
-            marks.append(head["mark"])
-            ends.append(head["n"])
+            heads.append(np.frombuffer(data, HEAD, n, 8))
             values.append(np.frombuffer(data, np.int32, -1, 8 + 24 * n))
-        if not ids:
-            return out_schema.empty_table()
-        doc_ids = np.concatenate(ids)
-        offsets = np.concatenate(([0], np.cumsum(np.concatenate(ends)))).astype(np.int32)
-        runs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
-        return pa.Table.from_arrays([pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(np.concatenate(marks)), runs], schema=out_schema)
+        head, value = np.concatenate(heads), np.concatenate(values)
+        order = np.lexsort((head["mark"], head["id"]))
+        first = np.concatenate(([0], np.cumsum(head["n"])[:-1]))
+        n = head["n"][order]
+        at = np.repeat(first[order] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        return head[order], value[at]
+
+    def dealt(blobs: list[memoryview]) -> pa.Table:
+        """The removals that one group found, one blob for each bucket of documents."""
+        out_b, out = [], []
+        if blobs:
+            head, value = opened(blobs)
+            b = ((head["id"].astype(np.uint64) * np.uint64(BASE) ^ head["mark"].astype(np.uint64)) * np.uint64(BASE) >> np.uint64(24)).astype(np.int64) % buckets
+            first = np.concatenate(([0], np.cumsum(head["n"])[:-1]))
+            order = np.argsort(b, kind="stable")
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(b[order])) + 1, [len(b)]))
+            for i, j in zip(cuts, cuts[1:]):
+                own = head[order[i:j]]
+                at = np.repeat(first[order[i:j]] - np.concatenate(([0], np.cumsum(own["n"])[:-1])), own["n"]) + np.arange(own["n"].sum())
+                out_b.append(int(b[order[i]]))
+                out.append(len(own).to_bytes(8, "little") + own.tobytes() + value[at].tobytes())
+        return pa.table({"bucket": pa.array(out_b, pa.int64()), "runs": pa.array(out, pa.binary())})
+
+    out_schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("runs", pa.list_(pa.int32()))])
+
+    def gathered(table: pa.Table) -> pa.Table:
+        """A row for each document of a bucket."""
+        head, value = opened([memoryview(x.as_buffer()) for x in table.column("runs")])
+        cut = np.flatnonzero(np.concatenate(([True], (head["id"][1:] != head["id"][:-1]) | (head["mark"][1:] != head["mark"][:-1]))))
+        ends = np.concatenate(([0], np.cumsum(head["n"])))
+        offsets = np.append(ends[cut], ends[-1]).astype(np.int32)
+        ids = head["id"][cut]
+        return pa.Table.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(head["mark"][cut]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))], schema=out_schema)
 
     def subtree(table: pa.Table) -> pa.Table:
         """Leaves of one group; runs of equal paths are its deep internal nodes."""
@@ -265,11 +293,11 @@ def removal_runs(rows: DataFrame, window: int = WINDOW, group: int = GROUP, chun
                     # equal rows in several chunks give the same start more than once
                     fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))
                     local.append(memoryview(known(doc_id[at], mark[at].astype(np.int64), doc[fresh], start[fresh])))
-        return removals(local)
+        return dealt(local)
 
     leaves = scan(rows, window, chunk_bytes, send, "g long, kind int, leaves binary")
-    found = leaves.groupBy("g").applyInArrow(lambda table: subtree(table.select(["kind", "leaves"])), "doc_id long, mark long, runs array<int>")
-    return found.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    found = leaves.groupBy("g").applyInArrow(lambda table: subtree(table.select(["kind", "leaves"])), "bucket long, runs binary")
+    return found.groupBy("bucket").applyInArrow(lambda table: gathered(table.select(["runs"])), "doc_id long, mark long, runs array<int>")
 
 
 def keep_mask(n: int, runs: list[int], window: int) -> np.ndarray:
