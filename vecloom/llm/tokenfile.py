@@ -32,10 +32,10 @@ FRAMES_PER_FILE = 4
 MAGIC = b"VLTOK1\0\0"
 HEAD = struct.Struct("<8sQIIIQQII")
 #: Units of text whose ids a worker remembers (some 60 bytes each), and of those the new ones (some 250 bytes each).
-CACHE_UNITS = 600_000
-NEW_UNITS = 200_000
+CACHE_UNITS = 900_000
+NEW_UNITS = 250_000
 #: Texts are encoded in slices of this size.
-ENCODE_BYTES = 3 << 20
+ENCODE_BYTES = 6 << 20
 #: White space outside ASCII.
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 STEM = re.compile(r"( ?[^\W_]+)([.,]\n?)")
