@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import only, stored
 
-LEAF = 48
+LEAF = 64
+FAN = 32
 QUERY_BLOCK = 4096
 SHARDS = 12
 DATA_BLOCK = 8192
@@ -41,34 +42,37 @@ class Node:
 
 
 def build(x: np.ndarray, rows: np.ndarray) -> Node:
-    """Cover tree over ``x[rows]``: children of a node with radius r are centred at points over r/2 apart that cover it within r/2."""
+    """Cover tree over ``x[rows]``. A node with radius r takes children's centres farthest first, until they cover it within
+    r/2 or there are ``FAN``; every point goes to the nearest one, and a child's radius is what its own points need."""
+    square = np.einsum("ij,ij->i", x, x)
+
+    def distance(rows: np.ndarray, c: int) -> np.ndarray:
+        """Upper bounds of distances, exact but for rounding."""
+        d = square[rows] + square[c] - 2 * (x[rows] @ x[c])
+        return np.where(rows == c, 0.0, np.sqrt(np.maximum(d, 0) + 1e-9 * (square[rows] + square[c])))
 
     def node(rows: np.ndarray, centre: int, dist: np.ndarray) -> Node:
-        radius = float(dist.max()) * (1 + 1e-9)
-        made = Node(rows, x[centre], radius, float(np.linalg.norm(x[centre])))
+        radius = float(dist.max())
+        made = Node(rows, x[centre], radius, float(np.sqrt(square[centre])))
         if len(rows) <= LEAF or radius == 0:
             return made
         near, owner, centres = dist.copy(), np.zeros(len(rows), np.int64), [centre]
-        while near.max() > radius / 2 and len(centres) < len(rows):
-            far = int(near.argmax())
-            d = np.sqrt(np.maximum(((x[rows] - x[rows[far]]) ** 2).sum(1), 0))
+        while near.max() > radius / 2 and len(centres) < FAN:
+            far = int(rows[near.argmax()])
+            d = distance(rows, far)
             closer = d < near
             near[closer], owner[closer] = d[closer], len(centres)
-            centres.append(int(rows[far]))
-        if len(centres) * 4 > len(rows):  # hardly any structure at this scale: plain leaves
-            order = np.argsort(owner, kind="stable")
-            for at in range(0, len(rows), LEAF):
-                own = rows[order[at : at + LEAF]]
-                d = np.sqrt(((x[own] - x[own[0]]) ** 2).sum(1))
-                made.children.append(node(own, int(own[0]), d))
-            return made
+            centres.append(far)
         for k, c in enumerate(centres):
             own = owner == k
-            made.children.append(node(rows[own], c, near[own]))
+            if own.all():  # points so close that rounding hides their order
+                return made
+            if own.any():
+                made.children.append(node(rows[own], c, near[own]))
         return made
 
     root = int(rows[0])
-    return node(rows, root, np.sqrt(((x[rows] - x[root]) ** 2).sum(1)))
+    return node(rows, root, distance(rows, root))
 
 
 class Search:
