@@ -26,6 +26,7 @@ MATRICES = [
 
 
 def vector(spark, values, kind="double"):
+    values = [float(v) for v in values] if kind in ("double", "float") else values
     return spark.createDataFrame(list(enumerate(values)), f"i long, v {kind}")
 
 
