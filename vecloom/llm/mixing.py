@@ -136,7 +136,8 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     if plan.agg(F.max("_copy")).first()[0] not in (None, 1):
         rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy("text")))
         same = same & (F.col("_at") == F.col("_copy"))
-    kept = rows.join(plan.filter("_copies > 0"), same)
+    # A merge join at every size: the shuffle of the texts follows the input, and a broadcast could not at scale.
+    kept = rows.join(plan.filter("_copies > 0").hint("merge"), same)
     return kept.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[F.col(f"`{c}`") for c in names])
 
 
