@@ -118,12 +118,23 @@ def contexts(text: Column, spans: Column) -> Column:
 
 
 def disclosing(mentions: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) at ``generalise`` or more, from ``mentions(entity, context)`` and the corpus ``docs(text)``."""
-    seen = mentions.distinct().withColumn("words", F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), "context", F.lit(" ")), F.lit(TERM), F.lit(0))))
-    seen = stored(seen, "contexts")
+    """(entity, term, disclosure) at ``generalise`` or more, from ``mentions(entity, context, mark)`` (mark: a hash of the
+    document's text) and the corpus ``docs(text)``.
+
+    A term is in at least as many documents as have it in a context; pairs that could not reach the threshold even at that
+    frequency are left out before the corpus is counted, so common words cost nothing there.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), "context", F.lit(" ")), F.lit(TERM), F.lit(0)))
+    spoken = stored(mentions.distinct().withColumn("words", words), "contexts")
+    seen = spoken.select("entity", "context", "words").distinct()
+    least = spoken.select("mark", F.explode("words").alias("lt")).distinct().groupBy("lt").agg(F.count("*").alias("least"))
     per_entity = seen.groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
     pairs = seen.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
-    pairs = stored(pairs.join(per_entity, F.col("entity") == F.col("e")).drop("e"), "pairs")
+    n = float(max(docs.count(), 2))
+    ic = F.log(F.lit(n + 1) / F.col("df_e"))
+    strength = lambda df: F.log(F.col("df_te") * F.lit(n) / (df * F.col("df_e"))) / ic
+    pairs = pairs.join(per_entity, F.col("entity") == F.col("e")).drop("e").join(least, F.col("term") == F.col("lt"))
+    pairs = stored(pairs.filter(strength(F.col("least")) >= generalise).drop("lt"), "pairs")
     terms = stored(pairs.select(F.col("term").alias("t")).distinct(), "terms")
     n_terms = terms.count()
     if n_terms == 0:
@@ -131,11 +142,8 @@ def disclosing(mentions: DataFrame, docs: DataFrame, support: int = SUPPORT, gen
     words = docs.filter("text IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))).alias("term"))
     held = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, F.col("term") == F.col("t"), "left_semi")
     df_t = stored(held.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df_t")), "term-counts")
-    n = float(max(docs.count(), 2))
     known = pairs.join(df_t, F.col("term") == F.col("t"))
-    pmi = F.log(F.col("df_te") * F.lit(n) / (F.col("df_t") * F.col("df_e")))
-    ic = F.log(F.lit(n + 1) / F.col("df_e"))
-    return stored(known.select("entity", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= generalise), "disclosing")
+    return stored(known.select("entity", "term", strength(F.col("df_t")).alias("disclosure")).filter(F.col("disclosure") >= generalise), "disclosing")
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, redact: bool = False) -> DataFrame:
@@ -148,7 +156,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     scanned = rows.withColumn("spans", F.coalesce(base_spans(F.col("text")), F.array().cast(SPAN)))
     mark = F.xxhash64("text")
     scanned = stored(scanned.select("doc_id", mark.alias("mark"), "spans", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"))).alias("mentions")), "spans")
-    mentions = scanned.filter("mentions IS NOT NULL").select(F.explode("mentions").alias("m")).select("m.*")
+    mentions = scanned.filter("mentions IS NOT NULL").select("mark", F.explode("mentions").alias("m")).select("mark", "m.*")
     strong = disclosing(mentions, rows, support, generalise)
     n_strong = strong.count()
     plain = scanned.select("doc_id", "mark", "spans")
