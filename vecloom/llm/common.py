@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow text is handed on in slices of about this many bytes, so that a task's memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
+TEXT_ROWS = 2000
 
 _own_dir: dict[str, str] = {}
 _written: list[str] = []
@@ -78,6 +79,13 @@ def keyed(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in batches of TEXT_ROWS rows at most; Spark's default of 10,000 long rows is too much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` that hold about ``size`` bytes of ``column`` each (one row at least)."""
     sizes = batch.column(column)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, slices
+from vecloom.llm.common import only, slices, text_batches
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, learn: Column) -> Model:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
 
+    text_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
@@ -144,6 +145,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 lang, score, doubt = zip(*(model.predict(t.as_py()) for t in part.column("_text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())], [*keep, "lang_pred", "score", "ambiguous"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string, score double, ambiguous boolean"])
     return rows.mapInArrow(run, schema)

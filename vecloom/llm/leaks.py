@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, slices, stored, texts
+from vecloom.llm.common import only, slices, stored, text_batches, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -124,6 +124,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshol
     row. Rows without an id keep a null id; repeated document rows give repeated results.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     schema = "doc_id long, item_id long, copies long, item_shingles long, shared long, containment double"
 
@@ -158,6 +159,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshol
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns; decided row by row in one scan for each block."""
     spark = docs.sparkSession
+    text_batches(spark)
     for block in item_blocks(items, block_bytes):
         sent = spark.sparkContext.broadcast(block)
 

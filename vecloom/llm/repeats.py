@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, slices, stored, texts
+from vecloom.llm.common import only, slices, stored, text_batches, texts
 
 WINDOW = 20
 DEPTHS = (1, 3)
@@ -34,7 +34,7 @@ CELLS = 4096
 CHUNK_BYTES = 6 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Ids of affected documents (16 bytes each) that are broadcast to select their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 NULL_ID = -(1 << 63)
 #: A document's entry in a blob of removals.
 HEAD = np.dtype([("id", np.int64), ("mark", np.int64), ("n", np.int64)])
@@ -316,6 +316,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, ch
     are separate documents in order of a text hash; equal rows are one document, whose result each of them gets. A null
     doc_id comes before all others.
     """
+    text_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), text.alias("text"))
     found = stored(removal_runs(rows.filter("text IS NOT NULL"), window, group, chunk_bytes).withColumnsRenamed({"doc_id": "d", "mark": "m"}), "runs")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, slices, stored, texts
+from vecloom.llm.common import only, slices, stored, text_batches, texts
 
 BUCKETS = 1 << 16
 SMOOTH = 0.1
@@ -71,6 +71,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sam
     ones among the labelled. Rows that tie with the k-th key (repeated rows) are all selected. Null or empty text has log
     weight 0. Without a target document all weights are 0 and half the rows are drawn.
     """
+    text_batches(docs.sparkSession)
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = only(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"))
     marks = stored(marks, "marks")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, slices, stored, texts
+from vecloom.llm.common import only, slices, stored, text_batches, texts
 from vecloom.llm.components import components
 
 RADIUS = 2
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
                 fps = np.array([fingerprint(x, width, seed) for x in texts(batch, "text", a, b)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(fps)], ["doc_id", "fp"])
 
+    text_batches(docs.sparkSession)
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

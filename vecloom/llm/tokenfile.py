@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import joined, keyed, only, shared_path, slices, stored
+from vecloom.llm.common import joined, keyed, only, shared_path, slices, stored, text_batches
 
 END_ID = 2
 FRAME_IDS = 1 << 20
@@ -32,10 +32,10 @@ FRAMES_PER_FILE = 4
 MAGIC = b"VLTOK1\0\0"
 HEAD = struct.Struct("<8sQIIIQQII")
 #: Units of text whose ids a worker remembers (some 60 bytes each), and of those the new ones (some 250 bytes each).
-CACHE_UNITS = 900_000
+CACHE_UNITS = 800_000
 NEW_UNITS = 250_000
 #: Texts are encoded in slices of this size.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 8 << 20
 #: White space outside ASCII.
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 STEM = re.compile(r"( ?[^\W_]+)([.,]\n?)")
@@ -223,6 +223,7 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write the ids of ``docs(doc_id, text)`` under ``path`` in ascending doc_id order (null first; equal ids by text), the end id after each."""
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text_batches(docs.sparkSession)
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

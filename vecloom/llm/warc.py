@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, shared_path, stored
+from vecloom.llm.common import only, shared_path, stored, text_batches
 
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
@@ -98,6 +98,7 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
     page_id are responses (repeated rows of that id too), the rest revisit it. Rows without page_id are written and read
     back with a null id; they are revisits if their payload has a page with an id. An empty table writes no record.
     """
+    text_batches(pages.sparkSession)
     rows = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # One row for each repeated payload, summed before the shuffle; stored, so that both join sides are plain exchanges
