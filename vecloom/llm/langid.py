@@ -151,6 +151,17 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told without doubt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not model.predict(t.as_py())[2] for t in batch.column("text")], pa.bool_()))
+
+    text_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows; a null text has lang_pred ``und`` and score 0. Rows without doc_id are neither held out nor learned from."""
     docs = only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "lang").withColumn("held_out", held_out())

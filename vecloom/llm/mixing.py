@@ -130,15 +130,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, blo
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` says; columns stay."""
     plan = stored(mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copy").alias("_copy"), F.col("copies").alias("_copies")), "copies")
-    names = docs.columns
-    rows = docs.withColumn("_n", word_count(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), word_count(F.col("text")).alias("n"))
+    same = F.col("d").eqNullSafe(F.col("_id")) & F.col("s").eqNullSafe(F.col("_source")) & (F.col("n") == F.col("_size"))
     if plan.agg(F.max("_copy")).first()[0] not in (None, 1):
-        rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy("text")))
+        rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("d", "s", "n").orderBy("doc.text")))
         same = same & (F.col("_at") == F.col("_copy"))
     # A merge join at every size: the shuffle of the texts follows the input, and a broadcast could not at scale.
     kept = rows.join(plan.filter("_copies > 0").hint("merge"), same)
-    return kept.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[F.col(f"`{c}`") for c in names])
+    return kept.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("doc.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ class Chunk:
         self.start = (np.arange(len(self.doc)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)) if docs else np.zeros(0, np.int64)
         at = self.start + np.repeat(begin, count) if docs else self.start
         self.paths = path_hashes(h, window)[at]
-        self.prefixes = [path_hashes(h, d)[at] for d in DEPTHS]
+        self.prefixes = [path_hashes(h, min(d, window))[at] for d in DEPTHS]
 
 
 def scan(rows: DataFrame, window: int, chunk_bytes: int, use, schema: str) -> DataFrame:
