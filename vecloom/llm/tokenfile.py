@@ -32,8 +32,8 @@ FRAMES_PER_FILE = 4
 MAGIC = b"VLTOK1\0\0"
 HEAD = struct.Struct("<8sQIIIQQII")
 #: Units of text whose ids a worker remembers (some 60 bytes each), and of those the new ones (some 250 bytes each).
-CACHE_UNITS = 800_000
-NEW_UNITS = 250_000
+CACHE_UNITS = 700_000
+NEW_UNITS = 200_000
 #: Texts are encoded in slices of this size.
 ENCODE_BYTES = 8 << 20
 #: White space outside ASCII.
@@ -120,11 +120,11 @@ def frames(data: bytes) -> Iterator[Frame]:
         at += made.size + 1
 
 
-def listed(parts: list[bytes]) -> pa.ListArray:
-    """Packed 32-bit ids as an Arrow list each."""
+def listed(parts: list[bytes], kind: type) -> pa.ListArray:
+    """Packed ids of a numpy kind as an Arrow list each."""
     offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.uint32)))
+    np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), kind)))
 
 
 class Encoder:
@@ -145,10 +145,11 @@ class Encoder:
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.batch = self.tok.encode_batch_fast if hasattr(self.tok, "encode_batch_fast") else self.tok.encode_batch
         self.new: dict[str, bytes] = {}
-        self.keys, self.table, self.used = pa.array([], pa.string()), listed([]), np.zeros(0, np.int64)
+        self.kind, self.code = (np.uint16, "H") if self.vocab <= 1 << 16 else (np.uint32, "I")
+        self.keys, self.table, self.used = pa.array([], pa.string()), listed([], self.kind), np.zeros(0, np.int64)
 
     def many(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.batch(parts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.batch(parts, add_special_tokens=False)]
 
     @staticmethod
     def regular(text: str) -> bool:
@@ -171,7 +172,7 @@ class Encoder:
         """Move new units to the table, with those of its own that most slices used."""
         best = np.argsort(-self.used, kind="stable")[: CACHE_UNITS - NEW_UNITS]
         best = pa.array(np.sort(best[self.used[best] > 0]))
-        units, ids = listed(list(self.new.values())), pa.array(list(self.new), pa.string())
+        units, ids = listed(list(self.new.values()), self.kind), pa.array(list(self.new), pa.string())
         self.keys = pa.concat_arrays([self.keys.take(best), ids])
         self.table = pa.concat_arrays([self.table.take(best), units])
         self.used = np.zeros(len(self.keys), np.int64)
@@ -186,7 +187,7 @@ class Encoder:
         place = at.fill_null(-1).to_numpy().astype(np.int64)
         lacking = np.flatnonzero(place < 0)
         self.used[place[place >= 0]] += 1
-        fresh = listed(self.learn(coded.dictionary.take(pa.array(lacking)).to_pylist()))
+        fresh = listed(self.learn(coded.dictionary.take(pa.array(lacking)).to_pylist()), self.kind)
         place[lacking] = len(self.table) + np.arange(len(lacking))
         table = pa.concat_arrays([self.table, fresh])
         sizes = np.diff(table.offsets.to_numpy()).astype(np.int64)
@@ -200,15 +201,15 @@ class Encoder:
         plain = np.fromiter((self.regular(t.as_py()) for t in batch), bool, len(batch))
         if plain.all() and len(batch):
             return self.encode_regular(pa.concat_arrays([batch]))
-        each: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(batch)
+        each: list[np.ndarray] = [np.zeros(0, self.kind)] * len(batch)
         if plain.any():
             ids, counts = self.encode_regular(batch.filter(pa.array(plain)))
             for i, part in zip(np.flatnonzero(plain), np.split(ids, np.cumsum(counts)[:-1])):
                 each[i] = part
         rest = np.flatnonzero(~plain)
         for i, ids in zip(rest, self.many(batch.take(pa.array(rest)).to_pylist())):
-            each[i] = np.frombuffer(ids, np.uint32)
-        return np.concatenate(each) if each else np.zeros(0, np.uint32), np.array([len(e) for e in each], np.int64)
+            each[i] = np.frombuffer(ids, self.kind)
+        return np.concatenate(each) if each else np.zeros(0, self.kind), np.array([len(e) for e in each], np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -240,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 part = batch.slice(a, b - a)
                 ids, counts = enc.encode(part.column("text"))
                 stops = np.cumsum(counts)
-                parts.append(np.insert(ids, stops, end))
+                parts.append(np.insert(ids.astype(np.uint32), stops, end))
                 ends += (held + stops + np.arange(1, len(stops) + 1)).tolist()
                 doc_ids += part.column("doc_id").to_pylist()
                 held += len(ids) + len(stops)
@@ -248,6 +249,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     yield done()
                     number, before, held = number + 1, before + held, 0
                     doc_ids, ends, parts = [], [], []
+            pa.default_memory_pool().release_unused()
         if doc_ids:
             yield done()
 
