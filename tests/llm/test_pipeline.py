@@ -11,7 +11,8 @@ pytest.importorskip("vecloom.llm")
 import corpus_pipeline  # noqa: E402
 from vecloom.llm import registry  # noqa: E402
 
-from .test_llm import brute_components, brute_fingerprint, brute_leaks, reference_tokens, targets  # noqa: E402
+from .test_llm import brute_leaks, reference_tokens, targets  # noqa: E402
+from .test_similar import brute_groups  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -31,8 +32,8 @@ def test_stages_equal_brute_force(spark):
     assert df.count() == len(before)  # all have a clear language
     df2 = step("near_copies", df)
     rows = df.collect()
-    part = brute_components([brute_fingerprint(r["text"]) for r in rows], [r["doc_id"] for r in rows])
-    assert sorted(r["doc_id"] for r in df2.collect()) == sorted(set(part))
+    part = brute_groups([(r["doc_id"], r["text"]) for r in rows])
+    assert sorted(r["doc_id"] for r in df2.collect()) == sorted(set(part.values()))
     df3 = step("decontaminate", df2)
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     texts = [(r["doc_id"], r["text"]) for r in df2.collect()]
