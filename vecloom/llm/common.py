@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow text is handed on in slices of about this many bytes, so that a task's memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
 TEXT_ROWS = 2000
+#: Bytes of a batch of texts that goes to Python.
+BATCH_BYTES = 16 << 20
 
 _own_dir: dict[str, str] = {}
 _written: list[str] = []
@@ -80,10 +82,11 @@ def keyed(df: DataFrame, *names: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Hand whole texts to Python in batches of TEXT_ROWS rows at most; Spark's default of 10,000 long rows is too much memory."""
+    """Hand whole texts to Python in batches of TEXT_ROWS rows and about BATCH_BYTES at most; Spark's defaults are too much memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
         spark.conf.set(key, TEXT_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
