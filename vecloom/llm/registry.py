@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op2_cover_tree": covertree.OP2_SQL, "op8_leaks": leaks.OP8_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op2_cover_tree": covertree.OP2_SQL, "op8_leaks": leaks.OP8_SQL, "op10_repeats": repeats.OP10_SQL}

@@ -353,3 +353,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, ch
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+s AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS b FROM d WHERE len(w) >= 20),
+h AS (SELECT rid, doc_id, b, sha256(array_to_string(list_slice(w, b, b + 19), ' ')) AS g FROM s),
+later AS (SELECT rid, b FROM h QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, b) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(b, b + 20)) AS p FROM later),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS line FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
