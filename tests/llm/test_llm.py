@@ -488,6 +488,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert not got[100]["spans"] and got[100]["text"] == texts[100]
 
 
+def test_copies_of_a_document_hide_no_term(spark):
+    filler = ["this day was long", "nothing else to say", "people went home"]
+    texts = [f"Once {f} then Quillfeather wrote from bob.k@mail.com about things {i}" for i, f in enumerate(filler)]
+    texts += [texts[2]] * 1000 + [f"then wrote about things once from {i} others" for i in range(300)]
+    got = {r["doc_id"]: r["spans"] for r in privacy.sanitise(docs_of(spark, texts)).collect()}
+    for i in (0, 1, 2, 500):
+        assert [s["value"] for s in got[i] if s["kind"] == 4] == ["quillfeather"]
+
+
 def test_privacy_is_native_and_survives_edges(spark, edge_docs):
     rows = privacy.sanitise(edge_docs, redact=True)
     plan = rows._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,7 @@
 """Personal data: pattern spans and information-theoretic sanitisation, in DataFrame operations only.
 
 Base spans are emails, ip addresses, card and phone numbers. Their values are the protected entities. Corpus co-occurrence
-then says how strongly a term reveals an entity: with document frequencies over all N documents and co-occurrence within a
+then says how strongly a term reveals an entity: with document frequencies over all N distinct texts and co-occurrence within a
 context around the entity's mentions, disclosure = PMI(term; entity) / IC(entity), which is 1 when the term occurs with
 the entity alone. A term that was seen with the entity in ``SUPPORT`` different contexts and reaches ``GENERALISE`` is
 replaced by a placeholder in documents that hold the entity; from ``REMOVE`` on it is deleted. Contexts are counted by
@@ -119,7 +119,7 @@ def contexts(text: Column, spans: Column) -> Column:
 
 def disclosing(mentions: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) at ``generalise`` or more, from ``mentions(entity, context, mark)`` (mark: a hash of the
-    document's text) and the corpus ``docs(text)``.
+    document's text) and the corpus ``docs(text)``. Document frequencies and N count distinct texts, as contexts do, so copies weigh nothing.
 
     A term is in at least as many documents as have it in a context; pairs that could not reach the threshold even at that
     frequency are left out before the corpus is counted, so common words cost nothing there.
@@ -130,7 +130,7 @@ def disclosing(mentions: DataFrame, docs: DataFrame, support: int = SUPPORT, gen
     least = spoken.select("mark", F.explode("words").alias("lt")).distinct().groupBy("lt").agg(F.count("*").alias("least"))
     per_entity = seen.groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
     pairs = seen.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
-    n = float(max(docs.count(), 2))
+    n = float(max(docs.agg(F.count_distinct(F.xxhash64("text"))).first()[0], 2))
     ic = F.log(F.lit(n + 1) / F.col("df_e"))
     strength = lambda df: F.log(F.col("df_te") * F.lit(n) / (df * F.col("df_e"))) / ic
     pairs = pairs.join(per_entity, F.col("entity") == F.col("e")).drop("e").join(least, F.col("term") == F.col("lt"))
@@ -139,9 +139,9 @@ def disclosing(mentions: DataFrame, docs: DataFrame, support: int = SUPPORT, gen
     n_terms = terms.count()
     if n_terms == 0:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    words = docs.filter("text IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))).alias("term"))
+    words = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))).alias("term"))
     held = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, F.col("term") == F.col("t"), "left_semi")
-    df_t = stored(held.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df_t")), "term-counts")
+    df_t = stored(held.groupBy(F.col("term").alias("t")).agg(F.count_distinct("mark").alias("df_t")), "term-counts")
     known = pairs.join(df_t, F.col("term") == F.col("t"))
     return stored(known.select("entity", "term", strength(F.col("df_t")).alias("disclosure")).filter(F.col("disclosure") >= generalise), "disclosing")
 
