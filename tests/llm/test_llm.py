@@ -390,6 +390,17 @@ def test_encoder_tables_change_nothing(monkeypatch):
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for r in want for x in r]
 
 
+def test_added_tokens_in_texts_are_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(tokenfile.tokenizer_path()), tokenfile.Encoder(tokenfile.tokenizer_path())
+    texts = ["a <|endoftext|> b", "plain words only", "<|endoftext|>", "x<|endoftext|>y. z", "a  <|endoftext|>\n"]
+    ids, counts = enc.encode(pa.array(texts))
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for r in want for x in r]
+
+
 # Leaks
 
 

@@ -132,7 +132,7 @@ class Encoder:
 
     A unit begins at a single space, or after a single line feed, between two characters that are not white space: the
     tokenizer always splits there. A new unit that is letters and digits with a full stop or comma behind is split again.
-    Texts with other white space are encoded whole. Known units are an Arrow table, looked up a slice of texts at a time;
+    Texts with other white space, or with an added token's content, are encoded whole. Known units are an Arrow table, looked up a slice of texts at a time;
     units new since it was made are in a dict.
     """
 
@@ -141,7 +141,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.batch = self.tok.encode_batch_fast if hasattr(self.tok, "encode_batch_fast") else self.tok.encode_batch
         self.new: dict[str, bytes] = {}
@@ -198,7 +198,7 @@ class Encoder:
     def encode(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number for each text."""
         batch = batch.cast(pa.string())
-        plain = np.fromiter((self.regular(t.as_py()) for t in batch), bool, len(batch))
+        plain = np.fromiter((self.regular(t) and not any(a in t for a in self.added) for t in batch.to_pylist()), bool, len(batch))
         if plain.all() and len(batch):
             return self.encode_regular(pa.concat_arrays([batch]))
         each: list[np.ndarray] = [np.zeros(0, self.kind)] * len(batch)
