@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import scalars as X
 from vecloom.functions import tuples as T
-from vecloom.operators import convert, elementwise, grouping, histogram, movement, permutation, reduction, selection, sorting, sparse, topk
+from vecloom.operators import convert, csr, elementwise, grouping, histogram, movement, permutation, reduction, selection, sorting, sparse, topk
 from vecloom.operators.sparse import SparseTable
 from vecloom.plans.running import positions, running
 from vecloom.sources import generators as G
+from vecloom.sources import matrix_market
 
 MATRICES = [
     ([1, 2, 3, 4], [0, 1, 2, 3], [1, 2, 3, 4], [0, 1, 2, 3, 4, 4, 4, 4], [0, 0, 1, 2, 3, 4, 4, 4], 7, 7),
@@ -133,8 +134,18 @@ def test_topk_edges(spark):
 
 
 def test_topk_plan_limits_before_the_shuffle(spark):
-    plan = topk.k_largest_abs(vector(spark, [1.0, 2.0]), 1)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    whole = plan(topk.k_largest_abs(vector(spark, [1.0, 2.0]), 1))
+    assert "TakeOrderedAndProject" in whole and "Window" not in whole and "Exchange" not in whole.partition("Subquery")[0]
+    grouped = plan(topk.k_largest_abs(vector(spark, [1.0, 2.0]).withColumn("g", F.col("i") % 2), 1, "g"))
+    assert "WindowGroupLimit" in grouped and "Partial" in grouped
+
+
+def test_topk_of_groups_with_ties_and_null_keys(spark):
+    rows = [("a", i, 5.0 if i < 50 else float(i % 5)) for i in range(100)] + [(None, 200, -2.0), (None, 201, 2.0), (None, 202, 1.0), ("b", 300, math.nan), ("b", 301, 9.0)]
+    x = spark.createDataFrame(rows, "g string, i long, v double")
+    got = sorted((str(r["g"]), r["i"]) for r in topk.k_largest_abs(x, 1, "g").collect())
+    assert got == sorted([("a", i) for i in range(50)] + [("None", 200), ("None", 201), ("b", 300)])
 
 
 def test_sort_goldens(spark):
@@ -294,8 +305,109 @@ def test_generators(spark):
 
 def test_matrix_market(spark, tmp_path):
     p = tmp_path / "m.mtx"
-    p.write_text("%%MatrixMarket matrix coordinate real symmetric\n% note\n3 3 2\n2 1 4.5\n3 3 1\n")
-    assert sorted(map(tuple, G.matrix_market(spark, str(p)).collect())) == [(0, 1, 4.5), (1, 0, 4.5), (2, 2, 1.0)]
-    p.write_text("%%MatrixMarket matrix array real general\n1 1\n1\n")
+
+    def read(text):
+        p.write_text(text)
+        m = matrix_market.read(spark, str(p))
+        return m.num_rows, m.num_cols, sorted(map(tuple, m.df.collect()))
+
+    head = "%%MatrixMarket matrix "
+    assert read(head + "coordinate real symmetric\n% note\n\n3 3 2\n2 1 4.5\n3 3 1\n") == (3, 3, [(0, 1, 4.5), (1, 0, 4.5), (2, 2, 1.0)])
+    assert read(head + "coordinate integer skew-symmetric\n3 3 1\n3 1 2\n") == (3, 3, [(0, 2, -2.0), (2, 0, 2.0)])
+    assert read(head + "coordinate integer general\n2 3 3\n2 3 3\n1 1 7\n2 3 3\n") == (2, 3, [(0, 0, 7.0), (1, 2, 3.0), (1, 2, 3.0)])
+    assert read(head + "coordinate pattern general\n2 2 1\n1 2\n") == (2, 2, [(0, 1, 1.0)])
+    assert read(head + "array real general\n2 3\n1\n2\n3\n4\n5\n6\n")[2] == [(0, 0, 1.0), (0, 1, 3.0), (0, 2, 5.0), (1, 0, 2.0), (1, 1, 4.0), (1, 2, 6.0)]
+    assert read(head + "array real symmetric\n2 2\n1\n2\n3\n")[2] == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 3.0)]
+    assert read(head + "array real skew-symmetric\n3 3\n1\n2\n3\n")[2] == [(0, 1, -1.0), (0, 2, -2.0), (1, 0, 1.0), (1, 2, -3.0), (2, 0, 2.0), (2, 1, 3.0)]
+    for bad in ("matrix\n", head + "coordinate complex general\n1 1 0\n", head + "coordinate real general\n", head + "coordinate real symmetric\n2 3 0\n", head + "array real general\n2 2\n1\n"):
+        with pytest.raises(ValueError):
+            read(bad)
+    for bad in ("2 2 1\n3 1 1\n", "2 2 1\n1 1\n", "2 2 2\n1 1 1\n", "2 2 1\n0 1 1\n"):
+        with pytest.raises(Exception, match="outside the shape"):
+            read(head + "coordinate real general\n" + bad)
+
+
+def test_matrix_market_round_trip(spark):
+    m = coo(spark, [0.1, -2.5, 3e300], [0, 1, 4], [2, 0, 3], 5, 4)
+    path = matrix_market.scratch(spark)
+    matrix_market.write(m, path)
+    back = matrix_market.read(spark, path)
+    assert (back.num_rows, back.num_cols) == (5, 4) and sorted(map(tuple, back.df.collect())) == sorted(map(tuple, m.df.collect()))
+
+
+@pytest.mark.parametrize("width,levels", [(3, 4), (256, 4), (2, 1)])
+def test_folds_and_scans_with_a_function(spark, width, levels):
+    values = [f"{chr(97 + k % 26)}" for k in range(40)]
+    x = spark.createDataFrame([(2 * k, v) for k, v in enumerate(values)], "i long, v string").repartition(3)
+    first = lambda a, b: F.concat(a, b)  # noqa: E731  associative, does not commute
+    assert reduction.tree_fold(x, first, (), width, levels).first()["v"] == "".join(values)
+    assert listed(reduction.tree_scan(x, first, width, levels).select("i", "v")) == ["".join(values[: k + 1]) for k in range(40)]
+    assert listed(reduction.tree_scan(x, first, width, levels).select("i", F.col("before").alias("v"))) == [None] + ["".join(values[: k + 1]) for k in range(39)]
+    assert reduction.reduce(x, first, "<").first()["v"] == "<" + "".join(values)
+    assert reduction.reduce(x.limit(0), first, "<").first()["v"] == "<" and reduction.inclusive_scan(x.limit(0), first).count() == 0
+    seg = x.withColumn("seg", F.col("i") % 4)
+    want = {0: "".join(values[::2]), 2: "".join(values[1::2])}
+    segs = spark.createDataFrame([(0,), (1,), (2,)], "seg long")
+    got = {r["seg"]: r["v"] for r in reduction.segmented_reduce(seg, segs, first, "-").collect()}
+    assert got == {0: "-" + want[0], 1: "-", 2: "-" + want[2]}
+
+
+def test_views_and_sorts_from_pointers(spark):
+    x = vector(spark, [5.0, 4.0, 3.0, 2.0, 1.0])
+    ptrs = spark.createDataFrame([(0, 0), (1, 2), (2, 2), (3, 5)], "line long, ptr long")
+    assert sorted(map(tuple, movement.spans_from_pointers(x, ptrs).collect())) == [(0, 0, 5.0), (0, 1, 4.0), (2, 0, 3.0), (2, 1, 2.0), (2, 2, 1.0)]
+    got = sorting.segmented_by_pointers(x.withColumnRenamed("v", "k"), ptrs).orderBy("pos").collect()
+    assert [(r["seg"], r["k"]) for r in got] == [(0, 4.0), (0, 5.0), (2, 1.0), (2, 2.0), (2, 3.0)]
+
+
+def test_vectors_read_at_offsets(spark):
+    x = vector(spark, [1.0, 2.0, 4.0, 8.0])
+    got = elementwise.multi({"a": x, "b": x, "c": x}, {"b": -1, "c": 1}).orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(1, 2.0, 1.0, 4.0), (2, 4.0, 2.0, 8.0)]
+
+
+def test_histogram_with_state(spark):
+    bits = spark.createDataFrame([(0x01020304,), (0x01020405,), (0x02020304,)], "bits long")
+    state = lambda prefix, k: spark.createDataFrame([(prefix, k)], "prefix long, k long")
+    assert {r["bin"]: r["n"] for r in histogram.bytes256(bits, 32, 16, state=state(0x0102, 2)).collect() if r["n"]} == {3: 1, 4: 1}
+    for k in (0, -1):
+        assert {r["n"] for r in histogram.bytes256(bits, 32, 16, state=state(0x0102, k)).collect()} == {0}
+
+
+def test_compressed_rows_keep_their_contracts(spark):
+    m = csr.RowTable.from_arrays(spark, [1.0, 2.0, 3.0], [4, 5, 6], [0, 1, 1, 3], 7)
+    assert sorted(map(tuple, m.coordinates().df.collect())) == [(0, 4, 1.0), (2, 5, 2.0), (2, 6, 3.0)]
+    assert sorted(map(tuple, m.row(2).collect())) == [(5, 2.0), (6, 3.0)] and m.row(1).count() == 0
+    assert listed(m.pointers(), "line", "ptr") == [0, 1, 1, 3]
+    assert m.equal(csr.RowTable.from_coordinates(m.coordinates())).first()[0] and m.coordinates("int").df.schema["val"].dataType.simpleString() == "int"
+    assert not m.equal(csr.RowTable.from_arrays(spark, [1.0, 2.0, 9.0], [4, 5, 6], [0, 1, 1, 3], 7)).first()[0]
+    assert not m.equal(csr.RowTable.from_arrays(spark, [1.0, 2.0, 3.0], [4, 5, 6], [0, 1, 1, 3], 8)).first()[0]
+    assert csr.RowTable.from_arrays(spark, [], [], [0], 3).coordinates().df.count() == 0
+    for ptrs in ([], [1, 3], [0, 2], [0, 4, 3], [0, 3, 2, 3]):
+        with pytest.raises(ValueError):
+            csr.RowTable.from_arrays(spark, [1.0, 2.0, 3.0], [4, 5, 6], ptrs, 7)
+    for cols in ([5, 4], [0, 7], [-1, 0]):
+        with pytest.raises(Exception, match="bad compressed row"):
+            csr.RowTable.from_arrays(spark, [1.0, 2.0], cols, [0, 2], 7).checked().collect()
     with pytest.raises(ValueError):
-        G.matrix_market(spark, str(p))
+        m.row(3)
+
+
+@pytest.mark.parametrize("bucket", [2, 1 << 20])
+@pytest.mark.parametrize("flags", "FFFF FFTF FTTF FTFFF FFTTTF TTTT FTTT F T".split())
+def test_swaps_of_a_long_vector(spark, flags, bucket):
+    want = list(range(len(flags) + 1))
+    for j, f in enumerate(flags):
+        if f == "T":
+            want[j], want[j + 1] = want[j + 1], want[j]
+    df = spark.createDataFrame([(j, f == "T") for j, f in enumerate(flags)], "i long, f boolean")
+    assert listed(permutation.swaps(df, bucket), "i", "p") == want
+
+
+def test_grouping_in_small_buckets_and_at_once(spark):
+    rng = random.Random(3)
+    ptrs = [0]
+    for _ in range(200):
+        ptrs.append(ptrs[-1] + rng.choice([0, 1, 3, 12, 40]))
+    df = spark.createDataFrame(list(enumerate(ptrs)), "i long, ptr long")
+    assert listed(grouping.wrap_subgroups(df, 10, bucket=7), "group", "ptr") == listed(grouping.wrap_subgroups(df, 10), "group", "ptr")

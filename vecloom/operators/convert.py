@@ -16,10 +16,11 @@ def to_rows(m: SparseTable) -> DataFrame:
     return every.select("row", F.transform(e, lambda x: x["col"]).alias("cols"), F.transform(e, lambda x: x["val"]).alias("vals"))
 
 
-def from_rows(rows: DataFrame, num_cols: int, num_rows: int | None = None) -> SparseTable:
-    """The coordinate form of (row, cols, vals)."""
+def from_rows(rows: DataFrame, num_cols: int, num_rows: int | None = None, kind: str | None = None) -> SparseTable:
+    """The coordinate form of (row, cols, vals); ``kind`` is another element type."""
     n = rows.count() if num_rows is None else num_rows
-    df = rows.select("row", F.explode(F.arrays_zip("cols", "vals")).alias("e")).select("row", F.col("e.cols").alias("col"), F.col("e.vals").alias("val"))
+    val = F.col("e.vals") if kind is None else F.col("e.vals").cast(kind)
+    df = rows.select("row", F.explode(F.arrays_zip("cols", "vals")).alias("e")).select("row", F.col("e.cols").alias("col"), val.alias("val"))
     return SparseTable(df, n, num_cols, "row_major")
 
 

@@ -42,10 +42,10 @@ def equal(x: DataFrame, y: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("equal"))
 
 
-def multi(vectors: dict[str, DataFrame]) -> DataFrame:
-    """N vectors side by side, (i, name, ...)."""
+def multi(vectors: dict[str, DataFrame], offsets: dict[str, int] | None = None) -> DataFrame:
+    """N vectors side by side, (i, name, ...). With ``offsets`` a vector is read at i + offset, which must exist."""
     out = None
     for name, x in vectors.items():
-        x = x.select("i", F.col("v").alias(name))
+        x = x.select((F.col("i") - F.lit((offsets or {}).get(name, 0))).cast(x.schema["i"].dataType).alias("i"), F.col("v").alias(name))
         out = x if out is None else out.join(x, "i")
     return out

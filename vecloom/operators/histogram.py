@@ -23,9 +23,15 @@ def byte_at(bits: Column, width: int, offset: int) -> Column:
     return F.shiftrightunsigned(bits, width - 8 - offset).bitwiseAND(F.lit(255)).cast("int")
 
 
-def bytes256(patterns: DataFrame, width: int, offset: int, prefix: int = 0, bin_of=None) -> DataFrame:
-    """(bin, n) over 256 bins of ``patterns(bits)``, non-negative longs; counted if the first ``offset`` bits equal ``prefix``."""
-    rows = patterns if offset == 0 else patterns.filter(F.shiftrightunsigned("bits", width - offset) == F.lit(prefix))
+def bytes256(patterns: DataFrame, width: int, offset: int, prefix: int = 0, bin_of=None, state: DataFrame | None = None) -> DataFrame:
+    """(bin, n) over 256 bins of ``patterns(bits)``, non-negative longs; counted if the first ``offset`` bits equal ``prefix``.
+
+    ``state``: one row (prefix, k) that an earlier step of a selection made; it takes the place of ``prefix``, and with k <= 0
+    nothing is left to select, so nothing is counted.
+    """
+    rows = patterns if state is None else patterns.filter(state.select("k").scalar() > 0)
+    want = F.lit(prefix) if state is None else state.select("prefix").scalar()
+    rows = rows if offset == 0 else rows.filter(F.shiftrightunsigned("bits", width - offset) == want)
     b = byte_at(F.col("bits"), width, offset)
     counts = rows.groupBy((b if bin_of is None else bin_of(b)).cast("long").alias("bin")).agg(F.count("*").alias("k"))
     every = patterns.sparkSession.range(256).select(F.col("id").alias("bin"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.operators.reduction import by_pointers
+
 
 def gather(index: DataFrame, src: DataFrame, strict: bool = True) -> DataFrame:
     """(i, v) with v = src[index.v]; an index outside the source is an error, or null if not ``strict``."""
@@ -59,6 +61,14 @@ def spans(*ranges: DataFrame) -> DataFrame:
     return out
 
 
+def spans_from_pointers(x: DataFrame, ptrs: DataFrame) -> DataFrame:
+    """One vector cut at ascending ``ptrs(line, ptr)`` into n views: (src, i, v), i from 0 in each; a view may be empty."""
+    ends = ptrs.select((F.col("line") - 1).alias("line"), F.col("ptr").alias("hi"))
+    views = ptrs.join(ends, "line").select(F.col("line").alias("seg"), F.col("ptr").alias("lo"), "hi")
+    own = by_pointers(x.select("i", "v"), views).join(views.select(F.col("seg").alias("_s"), F.col("lo").alias("_lo")), F.col("seg") == F.col("_s"))
+    return own.select(F.col("seg").alias("src"), (F.col("i") - F.col("_lo")).alias("i"), "v")
+
+
 def prefetch(df: DataFrame) -> DataFrame:
     """Keep the rows in the executors' storage from the first use on."""
     return df.persist()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.plans.running import BUCKET, running
+
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     """b^-1[a[i]]: where b puts what a puts at i."""
@@ -18,6 +20,14 @@ def multiply_successive(stack: DataFrame) -> DataFrame:
     return left.join(right, (F.col("j") == F.col("k")) & (F.col("x") == F.col("y"))).select("j", "i", "p")
 
 
+def swaps(flags: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(i, p) of length n + 1 for n ``flags(i, f)`` of any number: :func:`from_swaps` as a running maximum in buckets."""
+    held = F.when(~F.col("f"), F.col("i") + 1).otherwise(F.lit(0).cast("long"))
+    end = flags.agg((F.coalesce(F.max("i"), F.lit(-1)) + 1).cast("long").alias("i"), F.lit(False).alias("f"))
+    rows = running(flags.select(F.col("i").cast("long").alias("i"), "f").unionByName(end), held, "max", "_last", bucket=bucket, exclusive=True)
+    return rows.select("i", F.when(F.col("f"), F.col("i") + 1).otherwise(F.coalesce("_last", F.lit(0).cast("long"))).alias("p"))
+
+
 def from_swaps(flags: Column) -> Column:
     """The permutation that swaps neighbours j, j+1 for each true flag in turn, as an array; flags are an array of booleans.
 

@@ -9,9 +9,54 @@ from pyspark.sql import functions as F
 
 from vecloom.plans.running import BUCKET, OPERATIONS, running
 
-
-def reduce(x: DataFrame, op: str, init) -> DataFrame:
-    """One row (v): init op v0 op v1 ...; init if there is no element."""
+Operation = str | Callable[[Column, Column], Column]
+#: A function of the user is folded over arrays of this many elements, level by level.
+FOLD, LEVELS = 256, 4
+
+
+def tree_fold(x: DataFrame, f: Callable[[Column, Column], Column], by: tuple[str, ...] = (), width: int = FOLD, levels: int = LEVELS) -> DataFrame:
+    """(by..., v): fold of ``v`` in order of ``i`` with an associative ``f``, null for no element (without ``by``).
+
+    Each level folds runs of ``width`` neighbours and keeps their order, so ``f`` need not commute; the last level takes
+    what is left, about n / width ** (levels - 1) elements of a group.
+    """
+    kind = x.schema["v"].dataType.simpleString()
+    rows = x.select(*by, F.col("i").cast("long").alias("i"), "v")
+    for level in range(levels):
+        keys = [*by, *([F.floor(F.col("i") / F.lit(width)).cast("long").alias("i")] if level < levels - 1 else [])]
+        runs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m"))
+        first, rest = F.get("m", F.lit(0))["v"], F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0)))
+        rows = runs.select(*by, *(["i"] if level < levels - 1 else []), F.aggregate(rest, first, lambda a, s: f(a, s["v"]).cast(kind)).alias("v"))
+    return rows
+
+
+def tree_scan(x: DataFrame, f: Callable[[Column, Column], Column], width: int = FOLD, levels: int = LEVELS) -> DataFrame:
+    """(i, v, before): inclusive and exclusive running fold with an associative ``f``; ``before`` is null at the start."""
+    kind = x.schema["v"].dataType.simpleString()
+    step = f"array<struct<i:bigint,v:{kind},before:{kind}>>"
+    key = F.floor(F.col("i") / F.lit(width)).cast("long") if levels > 1 else F.lit(0).cast("long")
+    runs = x.groupBy(key.alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "v"))).alias("m"))
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)["v"]
+        return F.array_append(out, F.struct(s["i"].alias("i"), f(last, s["v"]).cast(kind).alias("v"), last.alias("before"))).cast(step)
+
+    first = F.get("m", F.lit(0))
+    start = F.array(F.struct(first["i"].alias("i"), first["v"].alias("v"), F.lit(None).cast(kind).alias("before"))).cast(step)
+    runs = runs.select("k", F.aggregate(F.slice("m", 2, F.size("m") - 1), start, add).alias("out"))
+    local = runs.select("k", F.explode("out").alias("e")).select("k", "e.*")
+    if levels == 1:
+        return local.select("i", "v", "before")
+    totals = tree_scan(runs.select(F.col("k").alias("i"), F.element_at("out", -1)["v"].alias("v")), f, width, levels - 1)
+    both = local.join(totals.select(F.col("i").alias("_k"), F.col("before").alias("_b")), F.col("k") == F.col("_k"))
+    joined = lambda c: F.when(F.col("_b").isNull(), F.col(c)).when(F.col(c).isNull(), F.col("_b")).otherwise(f(F.col("_b"), F.col(c)).cast(kind)).alias(c)
+    return both.select("i", joined("v"), joined("before"))
+
+
+def reduce(x: DataFrame, op: Operation, init) -> DataFrame:
+    """One row (v): init op v0 op v1 ...; init if there is no element. ``op``: a name of OPERATIONS or an associative function."""
+    if callable(op):
+        return tree_fold(x, op).select(F.when(F.col("v").isNull(), F.lit(init)).otherwise(op(F.lit(init), F.col("v"))).alias("v"))
     fold, join = OPERATIONS[op]
     return x.agg(fold("v").alias("t")).select(F.when(F.col("t").isNull(), F.lit(init)).otherwise(join(F.lit(init), F.col("t"))).alias("v"))
 
@@ -22,10 +67,13 @@ def fold_ordered(x: DataFrame, f: Callable[[Column, Column], Column], init: Colu
     return rows.select(by, F.aggregate("m", init, lambda a, s: f(a, s["v"])).alias("v"))
 
 
-def segmented_reduce(x: DataFrame, segments: DataFrame, op: str, init) -> DataFrame:
+def segmented_reduce(x: DataFrame, segments: DataFrame, op: Operation, init) -> DataFrame:
     """(seg, v) for every row of ``segments(seg)``; ``x`` carries its segment in ``seg``. An empty segment gives init."""
-    fold, join = OPERATIONS[op]
-    done = x.groupBy("seg").agg(fold("v").alias("t"))
+    if callable(op):
+        done, join = tree_fold(x, op, ("seg",)).withColumnRenamed("v", "t"), op
+    else:
+        fold, join = OPERATIONS[op]
+        done = x.groupBy("seg").agg(fold("v").alias("t"))
     return segments.select("seg").join(done, "seg", "left").select("seg", F.when(F.col("t").isNull(), F.lit(init)).otherwise(join(F.lit(init), F.col("t"))).alias("v"))
 
 
@@ -52,5 +100,8 @@ def finite_stats(x: DataFrame) -> DataFrame:
     return x.agg(F.count_if(finite(F.col("v"))).alias("finite"), F.avg(finite(F.col("v")).cast("double")).alias("fraction"))
 
 
-def inclusive_scan(x: DataFrame, op: str, bucket: int = BUCKET) -> DataFrame:
+def inclusive_scan(x: DataFrame, op: Operation, bucket: int = BUCKET) -> DataFrame:
+    """(i, v): v0 op ... op vi; ``op`` as in :func:`reduce`."""
+    if callable(op):
+        return tree_scan(x, op).select("i", "v")
     return running(x.select("i", "v"), F.col("v"), op, "s", bucket=bucket).select("i", F.col("s").alias("v"))

@@ -1,4 +1,8 @@
-"""Top-k by absolute value. Spark limits a rank window before the shuffle, so a task hands on about k rows."""
+"""Top-k by absolute value.
+
+The k-th magnitude comes first: a task hands on k rows (of each group) at most. The elements that reach it are then a filter,
+so any number of ties stays where it is and never meets in one task.
+"""
 
 from __future__ import annotations
 
@@ -21,11 +25,13 @@ def _checked(k: int) -> int:
 def k_largest_abs(x: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """(i, v), with ``by`` also that column: all elements (of a group) with |v| at least the k-th largest; ties come too.
 
-    NaN counts as larger than infinity. k over the number of elements gives all.
+    NaN counts as larger than infinity. k over the number of elements gives all; a null has no magnitude and is left out.
     """
-    w = Window.partitionBy(*([by] if by else [])).orderBy(F.col("_a").desc())
-    keys = ([by] if by else []) + ["i", "v"]
-    return x.withColumn("_a", _size(x)).withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= _checked(k)).select(*keys)
+    least = threshold_abs(x, k, by)
+    if by is None:
+        return x.filter(_size(x) >= least.scalar()).select("i", "v")
+    least = least.select(F.col(by).alias("_by"), F.col("threshold").alias("_t"))
+    return x.join(least, F.col(by).eqNullSafe(F.col("_by"))).filter(_size(x) >= F.col("_t")).select(by, "i", "v")
 
 
 def k_largest_abs_strict(x: DataFrame, k: int) -> DataFrame:
@@ -37,5 +43,7 @@ def threshold_abs(x: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """The k-th largest |v| (the least, if there are fewer): (threshold), or (group, threshold) with ``by``."""
     if by is None:
         return x.select(_size(x).alias("_a")).orderBy(F.col("_a").desc()).limit(_checked(k)).agg(F.min("_a").alias("threshold"))
-    top = k_largest_abs(x, k, by)
-    return top.withColumn("_a", _size(top)).groupBy(by).agg(F.min("_a").alias("threshold"))
+    # row_number, not rank: Spark keeps k rows a group before the shuffle, however many tie.
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col("_a").desc()))
+    top = x.select(by, _size(x).alias("_a")).withColumn("_r", place).filter(F.col("_r") <= _checked(k))
+    return top.groupBy(by).agg(F.min("_a").alias("threshold"))

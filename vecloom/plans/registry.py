@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import scalars as X
 from vecloom.functions import tuples as T
-from vecloom.operators import convert, elementwise, grouping, histogram, movement, permutation, reduction, selection, sorting, sparse, topk
+from vecloom.operators import convert, csr, elementwise, grouping, histogram, movement, permutation, reduction, selection, sorting, sparse, topk
 from vecloom.plans import views as V
 from vecloom.sources import generators as G
+from vecloom.sources import matrix_market
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,29 +88,53 @@ def _(s, d):
     return G.fill(V.sizes(s, d), 2.5)
 
 
-@query("rand_uniform")
+# Random numbers of two engines agree in distribution only: number, range, mean and deviation of a whole vector, the moments
+# within six standard errors. Two members of a pair are uncorrelated.
+
+DRAWS = 200_000
+
+
+def moments(df: DataFrame, mean: float, deviation: float, low: float | None = None, high: float | None = None) -> DataFrame:
+    six = 6 / DRAWS**0.5
+    v = F.col("v")
+    inside = F.lit(True) if low is None else (F.min(v) >= low) & (F.lit(True) if high is None else F.max(v) < high)
+    near = [(F.abs(F.avg(v) - mean) < six * deviation).alias("mean_ok"), (F.abs(F.stddev(v) / deviation - 1) < 3 * six).alias("deviation_ok")]
+    return df.agg(F.count("*").alias("n"), F.count_distinct(v).alias("d"), inside.alias("range_ok"), *near).select("n", (F.col("d") > 0.99 * DRAWS).alias("distinct_ok"), "range_ok", "mean_ok", "deviation_ok")
+
+
+MOMENTS = f"SELECT CAST({DRAWS} AS BIGINT) AS n, true AS distinct_ok, true AS range_ok, true AS mean_ok, true AS deviation_ok"
+BOTH = f"{MOMENTS}, true AS apart_ok, 're' AS member UNION ALL {MOMENTS}, true, 'im'"
+
+
+def both_moments(df: DataFrame, *args: float) -> DataFrame:
+    apart = df.agg((F.abs(F.corr("v.re", "v.im")) < 6 / DRAWS**0.5).alias("apart_ok"))
+    parts = [moments(df.select(F.col(f"v.{m}").alias("v")), *args).withColumns({"apart_ok": apart.scalar(), "member": F.lit(m)}) for m in ("re", "im")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("rand_uniform", MOMENTS)
 def _(s, d):
-    return G.uniform_real(s, 10_000, -3.0, 5.0, 1)
+    return moments(G.uniform_real(s, DRAWS, -3.0, 5.0, 1), 1.0, 8 / 12**0.5, -3.0, 5.0)
 
 
-@query("rand_normal")
+@query("rand_normal", MOMENTS)
 def _(s, d):
-    return G.normal_real(s, 10_000, 2.0, 3.0, 1)
+    return moments(G.normal_real(s, DRAWS, 2.0, 3.0, 1), 2.0, 3.0)
 
 
-@query("rand_uniform_complex")
+@query("rand_uniform_complex", BOTH)
 def _(s, d):
-    return G.uniform_complex(s, 10_000, -1.0, 1.0, 1).select("i", "v.re", "v.im")
+    return both_moments(G.uniform_complex(s, DRAWS, -1.0, 1.0, 1), 0.0, 2 / 12**0.5, -1.0, 1.0)
 
 
-@query("rand_normal_complex")
+@query("rand_normal_complex", BOTH)
 def _(s, d):
-    return G.normal_complex(s, 10_000, 0.0, 1.0, 1).select("i", "v.re", "v.im")
+    return both_moments(G.normal_complex(s, DRAWS, 0.0, 1.0, 1), 0.0, 1.0)
 
 
-@query("rand_exponential")
+@query("rand_exponential", MOMENTS)
 def _(s, d):
-    return G.generate(s, 10_000, lambda u: -F.log(F.lit(1.0) - u), 1)
+    return moments(G.generate(s, DRAWS, lambda u: -F.log(F.lit(1.0) - u), 1), 1.0, 1.0, 0.0)
 
 
 @query("vector_from_values", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1.5 AS DOUBLE)), (1, -2.0), (2, 4.25)) t(i, v)")
@@ -222,6 +247,11 @@ def _(s, d):
     return elementwise.multi({"x": V.sizes(s, d), "y": V.prices(s, d)}).withColumn("z", F.col("x") * F.col("y"))
 
 
+@query("multi_offsets", f"SELECT a.i, a.v AS x, b.v AS y, c.v AS z FROM ({V.PINT}) a JOIN ({V.PINT}) b ON b.i = a.i - 1 JOIN ({V.PRICE}) c ON c.i = a.i + 2")
+def _(s, d):
+    return elementwise.multi({"x": V.sizes(s, d), "y": V.sizes(s, d), "z": V.prices(s, d)}, {"y": -1, "z": 2})
+
+
 @query("ranges_equal", f"SELECT bool_and(x.v = y.v) AS equal FROM ({V.CUST}) x JOIN ({V.CUST}) y ON x.i = y.i")
 def _(s, d):
     return elementwise.equal(V.balances(s, d), V.balances(s, d))
@@ -272,9 +302,9 @@ def _(s, d):
     return movement.find(V.sizes(s, d), 100_000, -5)
 
 
-@query("block_copy_2d", f"SELECT (i // 20) * 15 + i % 20 AS i, v FROM ({V.PINT}) WHERE i % 20 < 12 AND (i // 20) * 12 + i % 20 < 600")
+@query("block_copy_2d", f"SELECT (i // 20) * 15 + i % 20 AS i, v FROM ({V.PINT}) WHERE i % 20 < 12")
 def _(s, d):
-    return movement.block_copy(V.sizes(s, d), 600, 12, 20, 12, 15)
+    return movement.block_copy(V.sizes(s, d), 1 << 40, 12, 20, 12, 15)
 
 
 @query("block_copy_functor", f"SELECT (i // 20) * 12 + i % 20 AS i, CAST(v * 2 AS INTEGER) AS v FROM ({V.PINT}) WHERE i % 20 < 12")
@@ -287,6 +317,11 @@ def _(s, d):
     return movement.spans(*movement.split_at(V.balances(s, d), 50))
 
 
+@query("prefetch", V.PINT)
+def _(s, d):
+    return movement.prefetch(V.sizes(s, d))
+
+
 # Selection
 
 
@@ -333,13 +368,53 @@ def _(s, d):
     return reduction.segmented_reduce(V.events(s, d), V.segments(s, d), "max", 5.0)
 
 
-BLOCKS = "SELECT seg, CASE WHEN seg = 3 THEN 300 ELSE seg * 100 END AS lo, CASE WHEN seg = 2 THEN 300 WHEN seg = 3 THEN 300 ELSE (seg + 1) * 100 END AS hi FROM (SELECT unnest(range(0, 10)) AS seg)"
+# Segments of 100 elements each over the whole vector, and an empty one behind each.
+BLOCKS = "SELECT seg, (seg + 1) // 2 * 100 AS lo, (seg // 2 + 1) * 100 AS hi FROM (SELECT unnest(range(0, (SELECT 2 * (count(*) // 100 + 1) FROM part))) AS seg)"
+
+
+def blocks(s, d) -> DataFrame:
+    n = V.table(s, d, "part").count()
+    half = lambda c: F.floor(c / 2).cast("long")
+    seg = F.col("id")
+    return s.range(2 * (n // 100 + 1)).select(seg.alias("seg"), (half(seg + 1) * 100).alias("lo"), ((half(seg) + 1) * 100).alias("hi"))
 
 
-@query("segmented_reduce_pointers", f"SELECT s.seg, coalesce(sum(e.v), 0) + 1 AS v FROM ({BLOCKS}) s LEFT JOIN ({V.PINT}) e ON e.i >= s.lo AND e.i < s.hi GROUP BY s.seg".replace("coalesce(sum(e.v), 0) + 1", "CAST(coalesce(sum(e.v), 0) + 1 AS BIGINT)"))
+@query("segmented_reduce_pointers", f"SELECT s.seg, CAST(coalesce(sum(e.v), 0) + 1 AS BIGINT) AS v FROM ({BLOCKS}) s LEFT JOIN ({V.PINT}) e ON e.i >= s.lo AND e.i < s.hi GROUP BY s.seg")
 def _(s, d):
-    b = s.range(10).select(F.col("id").alias("seg"), (F.col("id") * 100).alias("lo"), F.when(F.col("id") == 3, 300).otherwise((F.col("id") + 1) * 100).alias("hi"))
-    return reduction.segmented_reduce(reduction.by_pointers(V.sizes(s, d), b, 64), b, "sum", 1)
+    b = blocks(s, d)
+    return reduction.segmented_reduce(reduction.by_pointers(V.sizes(s, d), b), b, "sum", 1)
+
+
+# (a, b) then (c, d): apply a * x + b, then c * x + d. Associative, and order matters.
+def affine(a: Column, b: Column) -> Column:
+    return F.struct((a["a"] * b["a"]).alias("a"), (a["b"] * b["a"] + b["b"]).alias("b"))
+
+
+def maps(x: DataFrame) -> DataFrame:
+    """Halve and add v, as maps."""
+    return x.withColumn("v", F.struct(F.lit(0.5).alias("a"), F.col("v").cast("double").alias("b")))
+
+
+@query("reduce_function", f"SELECT round(sum(v * pow(0.5, n - k)), 6) AS v FROM (SELECT v, row_number() OVER (ORDER BY i) AS k, count(*) OVER () AS n FROM ({V.PINT}))")
+def _(s, d):
+    whole = reduction.tree_fold(maps(V.sizes(s, d).select("i", "v")), affine)
+    return whole.select(F.round("v.b", 6).alias("v"))
+
+
+@query("reduce_function_init", f"SELECT CAST(bit_xor(v) AS INTEGER) AS v FROM (SELECT v FROM ({V.PINT}) UNION ALL SELECT 5)")
+def _(s, d):
+    return reduction.reduce(V.sizes(s, d), lambda a, b: a.bitwiseXOR(b), 5)
+
+
+@query("segmented_reduce_function", f"SELECT g.seg, CAST(coalesce(xor(3, bit_xor(CAST(trunc(e.v) AS BIGINT))), 3) AS BIGINT) AS v FROM ({V.SEG}) g LEFT JOIN ({V.EV}) e ON g.seg = e.seg GROUP BY g.seg")
+def _(s, d):
+    x = V.events(s, d).withColumn("v", F.col("v").cast("long"))
+    return reduction.segmented_reduce(x, V.segments(s, d), lambda a, b: a.bitwiseXOR(b), F.lit(3).cast("long"))
+
+
+@query("inclusive_scan_function", f"SELECT e.i, round(sum(p.v * pow(0.5, e.i - p.i)), 6) AS v FROM ({V.PINT}) e JOIN ({V.PINT}) p ON p.i <= e.i AND p.i > e.i - 60 GROUP BY e.i")
+def _(s, d):
+    return reduction.inclusive_scan(maps(V.sizes(s, d)), affine).select("i", F.round("v.b", 6).alias("v"))
 
 
 @query("fold_ordered", f"SELECT seg, round(sum(v * pow(0.5, n - k)), 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY i) AS k, count(*) OVER (PARTITION BY seg) AS n FROM ({V.EV})) GROUP BY seg")
@@ -366,23 +441,23 @@ RUNNING = "OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 @query("inclusive_scan_sum", f"SELECT i, CAST(sum(v) {RUNNING} AS BIGINT) AS v FROM ({V.PINT})")
 def _(s, d):
-    return reduction.inclusive_scan(V.sizes(s, d), "sum", 256)
+    return reduction.inclusive_scan(V.sizes(s, d), "sum")
 
 
 @query("inclusive_scan_max", f"SELECT i, max(v) {RUNNING} AS v FROM ({V.EV})")
 def _(s, d):
-    return reduction.inclusive_scan(V.events(s, d), "max", 256)
+    return reduction.inclusive_scan(V.events(s, d), "max")
 
 
 @query("inclusive_scan_min", f"SELECT i, min(v) {RUNNING} AS v FROM ({V.EV})")
 def _(s, d):
-    return reduction.inclusive_scan(V.events(s, d), "min", 256)
+    return reduction.inclusive_scan(V.events(s, d), "min")
 
 
 @query("inclusive_scan_product", f"SELECT i, round(product(1 + v / 1e6) {RUNNING}, 6) AS v FROM ({V.PINT})")
 def _(s, d):
     x = elementwise.transform(V.sizes(s, d), lambda v: 1 + v / 1e6)
-    return rounded(reduction.inclusive_scan(x, "product", 256), "v", digits=6)
+    return rounded(reduction.inclusive_scan(x, "product"), "v", digits=6)
 
 
 # Histograms
@@ -406,18 +481,33 @@ def _(s, d):
     return histogram.bytes256(V.table(s, d, "orders").select(F.col("o_orderkey").alias("bits")), 32, 24, 3, lambda b: 255 - b)
 
 
-@query("bin_values256_float")
+FIRST8 = "list_sum(list_transform(range(0, 8), lambda k: CAST(substr(b, {at} + CAST(k AS INTEGER), 1) AS INTEGER) << CAST(7 - k AS INTEGER)))"
+
+
+@query("bin_values256_float", BINS.format(f"SELECT {FIRST8.format(at=1)} AS bin FROM (SELECT CAST(CAST(abs(CAST(v AS FLOAT)) AS BIT) AS VARCHAR) AS b FROM ({V.CUST}))"))
 def _(s, d):
     bits = V.balances(s, d).select(X.float_bits(F.abs(F.col("v").cast("float"))).alias("bits"))
     return histogram.bytes256(bits, 32, 0)
 
 
-@query("bin_values256_double")
+@query("bin_values256_double", BINS.format(f"SELECT {FIRST8.format(at=9)} AS bin FROM (SELECT CAST(CAST(abs(v) AS BIT) AS VARCHAR) AS b FROM ({V.CUST})) WHERE substr(b, 1, 8) = '01000000'"))
 def _(s, d):
     bits = V.balances(s, d).select(X.double_bits(F.abs("v")).alias("bits"))
     return histogram.bytes256(bits, 64, 8, 64)
 
 
+@query("bin_values256_state", BINS.format("SELECT (o_orderkey >> 8) & 255 AS bin FROM orders WHERE o_orderkey >> 16 = 0"))
+def _(s, d):
+    bits = V.table(s, d, "orders").select(F.col("o_orderkey").alias("bits"))
+    return histogram.bytes256(bits, 32, 16, state=s.range(1).select(F.col("id").alias("prefix"), F.lit(7).alias("k")))
+
+
+@query("bin_values256_done", "SELECT unnest(range(0, 256)) AS bin, CAST(0 AS BIGINT) AS n")
+def _(s, d):
+    bits = V.table(s, d, "orders").select(F.col("o_orderkey").alias("bits"))
+    return histogram.bytes256(bits, 32, 16, state=s.range(1).select(F.col("id").alias("prefix"), F.lit(0).alias("k")))
+
+
 # Sorting
 
 EVK = V.EV.replace(" AS v ", " AS k ")
@@ -442,6 +532,13 @@ def _(s, d):
     return sorting.segmented(keys(s, d)).select("seg", "i", "k", "pos")
 
 
+@query("segmented_sort_pointers", f"SELECT seg, i, k, lo + row_number() OVER (PARTITION BY seg ORDER BY k, i) - 1 AS pos FROM (SELECT i // 100 AS seg, i // 100 * 100 AS lo, i, v AS k FROM ({V.PINT}))")
+def _(s, d):
+    n = V.table(s, d, "part").count()
+    ptrs = s.range(n // 100 + 2).select(F.col("id").alias("line"), F.least(F.col("id") * 100, F.lit(n)).alias("ptr"))
+    return sorting.segmented_by_pointers(V.sizes(s, d).withColumnRenamed("v", "k"), ptrs).select("seg", "i", "k", "pos")
+
+
 @query("abs_order", f"SELECT i, v FROM ({V.CUST})")
 def _(s, d):
     return sorting.by_magnitude(V.balances(s, d), descending=True)
@@ -473,7 +570,7 @@ def _(s, d):
 
 
 def _pointers_sql(axis: str) -> str:
-    return f"SELECT line, CAST(coalesce(sum(n) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM (SELECT g.line, count(m.val) AS n FROM (SELECT unnest(range(0, 257)) AS line) g LEFT JOIN ({A}) m ON g.line = m.{axis} GROUP BY g.line)"
+    return f"SELECT line, CAST(coalesce(sum(n) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM (SELECT g.line, count(m.val) AS n FROM (SELECT unnest(range(0, {V.SIDE} + 1)) AS line) g LEFT JOIN ({A}) m ON g.line = m.{axis} GROUP BY g.line)"
 
 
 @query("row_ptrs", _pointers_sql("r"))
@@ -496,18 +593,18 @@ def _(s, d):
     return sparse.max_row_entries(V.matrix(s, d))
 
 
-@query("coords_unique", f"SELECT count(*) = count(DISTINCT r * 256 + c) AS is_unique FROM ({A})")
+@query("coords_unique", f"SELECT count(*) = count(DISTINCT (r, c)) AS is_unique FROM ({A})")
 def _(s, d):
     return sparse.coordinates_unique(V.matrix(s, d))
 
 
 @query("diagmm", f"SELECT r, c, (r + 1.0) * val AS val FROM ({A})".replace("(r + 1.0)", "CAST(r + 1 AS DOUBLE)"))
 def _(s, d):
-    diag = G.iota(s, V.SIDE, 1).select("i", F.col("v").cast("double").alias("v"))
+    diag = G.iota(s, V.side(s, d), 1).select("i", F.col("v").cast("double").alias("v"))
     return coords(sparse.diagmm(diag, V.matrix(s, d)).df)
 
 
-@query("get_diagonal", f"SELECT g.i, coalesce(m.val, 0.0) AS v FROM (SELECT unnest(range(0, 256)) AS i) g LEFT JOIN (SELECT * FROM ({A}) WHERE r = c) m ON g.i = m.r")
+@query("get_diagonal", f"SELECT g.i, coalesce(m.val, 0.0) AS v FROM (SELECT unnest(range(0, {V.SIDE})) AS i) g LEFT JOIN (SELECT * FROM ({A}) WHERE r = c) m ON g.i = m.r")
 def _(s, d):
     return sparse.diagonal(V.matrix(s, d))
 
@@ -545,36 +642,78 @@ def _(s, d):
     return coords(sparse.symmetrize_both(V.matrix(s, d)).withColumn("val1", F.col("val1") + 0.0), "val0", "val1")
 
 
-@query("extend_rows", f"""WITH a AS ({A}), n AS (SELECT g.r, count(a.val) AS k FROM (SELECT unnest(range(0, 256)) AS r) g LEFT JOIN a ON a.r = g.r GROUP BY g.r),
-free AS (SELECT n.r, n.k, q.c, row_number() OVER (PARTITION BY n.r ORDER BY q.c) AS p FROM n, (SELECT unnest(range(0, 256)) AS c) q WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.r = n.r AND a.c = q.c))
-SELECT r, c, val FROM a UNION ALL SELECT r, c, -7.0 FROM free WHERE p <= least(4, 256 - k)""")
+@query("extend_rows", f"""WITH a AS ({A}), n AS (SELECT g.r, count(a.val) AS k FROM (SELECT unnest(range(0, {V.SIDE})) AS r) g LEFT JOIN a ON a.r = g.r GROUP BY g.r),
+near AS (SELECT r, k, unnest(range(0, least(k + 4, {V.SIDE}))) AS c FROM n),
+free AS (SELECT r, c, row_number() OVER (PARTITION BY r ORDER BY c) AS p FROM near ANTI JOIN a USING (r, c))
+SELECT r, c, val FROM a UNION ALL SELECT r, c, -7.0 FROM free WHERE p <= 4""")
 def _(s, d):
     return coords(convert.extend_rows(V.matrix(s, d), 4, -7.0).df)
 
 
 @query("coo_csr_roundtrip", f"SELECT r, c, val FROM ({A})")
 def _(s, d):
-    return coords(convert.from_rows(convert.to_rows(V.matrix(s, d)), V.SIDE, V.SIDE).df)
+    m = V.matrix(s, d)
+    return coords(convert.from_rows(convert.to_rows(m), m.num_cols, m.num_rows).df)
 
 
 @query("csr_arrays", f"SELECT r, row_number() OVER (PARTITION BY r ORDER BY c) - 1 AS pos, c, val FROM ({A})")
 def _(s, d):
-    rows = convert.to_rows(V.matrix(s, d)).select(F.col("row").alias("r"), F.posexplode(F.arrays_zip("cols", "vals")).alias("pos", "e"))
+    rows = csr.RowTable.from_coordinates(V.matrix(s, d)).checked().select(F.col("row").alias("r"), F.posexplode(F.arrays_zip("cols", "vals")).alias("pos", "e"))
     return rows.select("r", F.col("pos").cast("long").alias("pos"), F.col("e.cols").alias("c"), F.col("e.vals").alias("val"))
 
 
-A8 = V.matrix_sql("a", 8)
+@query("csr_cast", f"SELECT r, c, CAST(val AS FLOAT) AS val FROM ({A})")
+def _(s, d):
+    return coords(csr.RowTable.from_coordinates(V.matrix(s, d)).coordinates("float").df)
+
+
+@query("csr_row", f"SELECT c, val FROM ({A}) WHERE r = 7")
+def _(s, d):
+    return csr.RowTable.from_coordinates(V.matrix(s, d)).row(7).select(F.col("col").alias("c"), "val")
+
+
+@query("csr_equal", f"SELECT count(*) = 0 AS equal FROM (({A}) EXCEPT ALL ({A}))")
+def _(s, d):
+    one, two = (csr.RowTable.from_coordinates(V.matrix(s, d)) for _ in range(2))
+    return one.equal(two)
+
+
+@query("csr_differ", f"SELECT count(*) = 0 AS equal FROM (({A}) EXCEPT ALL ({B}))")
+def _(s, d):
+    return csr.RowTable.from_coordinates(V.matrix(s, d)).equal(csr.RowTable.from_coordinates(V.matrix(s, d, "b")))
+
+
+@query("csr_ptrs", _pointers_sql("r"))
+def _(s, d):
+    return csr.RowTable.from_coordinates(V.matrix(s, d)).pointers()
+
+
+@query("spans_from_ptrs", f"SELECT r AS src, row_number() OVER (PARTITION BY r ORDER BY c) - 1 AS i, val AS v FROM ({A})")
+def _(s, d):
+    m = V.matrix(s, d)
+    return movement.spans_from_pointers(m.positions().select(F.col("pos").alias("i"), F.col("val").alias("v")), sparse.pointers(m))
+
+
+@query("matrix_market", f"SELECT r, c, val FROM ({A})")
+def _(s, d):
+    path = matrix_market.scratch(s)
+    matrix_market.write(V.matrix(s, d), path)
+    return coords(matrix_market.read(s, path).df)
+
+
+N = V.NATIONS
 
 
-@query("dense_export", f"SELECT x.r, y.c, coalesce(m.val, 0.0) AS val FROM (SELECT unnest(range(0, 8)) AS r) x CROSS JOIN (SELECT unnest(range(0, 8)) AS c) y LEFT JOIN ({A8}) m ON m.r = x.r AND m.c = y.c")
+@query("dense_export", f"SELECT x.r, y.c, coalesce(m.val, 0.0) AS val FROM (SELECT unnest(range(0, (SELECT count(*) FROM nation))) AS r) x CROSS JOIN (SELECT unnest(range(0, (SELECT count(*) FROM region))) AS c) y LEFT JOIN ({N}) m ON m.r = x.r AND m.c = y.c")
 def _(s, d):
-    dense = convert.to_dense(V.matrix(s, d, side=8))
+    dense = convert.to_dense(V.nations(s, d))
     return dense.select(F.col("row").alias("r"), F.posexplode("vals").alias("c", "val")).select("r", F.col("c").cast("long").alias("c"), "val")
 
 
-@query("dense_import", f"SELECT r, c, val FROM ({A8}) WHERE val <> 0")
+@query("dense_import", f"SELECT r, c, val FROM ({N}) WHERE val <> 0")
 def _(s, d):
-    return coords(convert.from_dense(convert.to_dense(V.matrix(s, d, side=8)), 8, 8).df)
+    m = V.nations(s, d)
+    return coords(convert.from_dense(convert.to_dense(m), m.num_cols, m.num_rows).df)
 
 
 # Permutations and grouping
@@ -594,13 +733,20 @@ def _(s, d):
     return permutation.multiply_successive(stack)
 
 
-@query("bit_permutation", """WITH f AS (SELECT p_partkey AS j, p_size % 2 = 1 AS s FROM part WHERE p_partkey < 16)
-SELECT g.i, CASE WHEN f.s THEN g.i + 1 ELSE coalesce((SELECT max(h.j) + 1 FROM f h WHERE h.j < g.i AND NOT h.s), 0) END AS p
-FROM (SELECT unnest(range(0, 17)) AS i) g LEFT JOIN f ON f.j = g.i""")
+@query("bit_permutation", """WITH f AS (SELECT p_partkey AS i, p_size % 2 = 1 AS s FROM part UNION ALL SELECT count(*), false FROM part)
+SELECT i, CASE WHEN s THEN i + 1 ELSE coalesce(max(CASE WHEN NOT s THEN i + 1 END) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS p FROM f""")
 def _(s, d):
-    flags = V.sizes(s, d).filter("i < 16").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("v") % 2 == 1).alias("s")))).alias("f"))
-    p = flags.select(F.posexplode(permutation.from_swaps(F.transform("f", lambda x: x["s"]))).alias("i", "p"))
-    return p.select(F.col("i").cast("long").alias("i"), F.col("p").cast("long").alias("p"))
+    return permutation.swaps(V.sizes(s, d).select("i", (F.col("v") % 2 == 1).alias("f")))
+
+
+@query("bit_permutation_arrays", """WITH f AS (SELECT p_partkey // 16 AS g, p_partkey % 16 AS j, p_size % 2 = 1 AS s FROM part), n AS (SELECT g, count(*) AS n FROM f GROUP BY g),
+e AS (SELECT * FROM f UNION ALL SELECT g, n, false FROM n)
+SELECT g, j AS i, CASE WHEN s THEN j + 1 ELSE coalesce(max(CASE WHEN NOT s THEN j + 1 END) OVER (PARTITION BY g ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS p FROM e""")
+def _(s, d):
+    rows = V.sizes(s, d).select(F.floor(F.col("i") / 16).alias("g"), "i", (F.col("v") % 2 == 1).alias("s"))
+    flags = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("f"))
+    p = flags.select("g", F.posexplode(permutation.from_swaps(F.transform("f", lambda x: x["s"]))).alias("i", "p"))
+    return p.select("g", F.col("i").cast("long").alias("i"), F.col("p").cast("long").alias("p"))
 
 
 EVENT_PTRS = "SELECT i, CAST(coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM (SELECT g.i, count(e.user_id) AS n FROM (SELECT unnest(range(0, (SELECT max(user_id) + 2 FROM events))) AS i) g LEFT JOIN events e ON e.user_id = g.i GROUP BY g.i)"
@@ -655,3 +801,8 @@ def _(s, d):
 @query("magnitude", f"SELECT i, abs(a) AS m FROM ({NUM})")
 def _(s, d):
     return numbers(s, d).select("i", X.magnitude(F.col("a"), "bigint").cast("long").alias("m"))
+
+
+@query("hostname", "SELECT true AS known")
+def _(s, d):
+    return s.range(1).select((F.length(F.lit(X.hostname())) > 0).alias("known"))

@@ -1,7 +1,7 @@
 """Two-level plans for what would otherwise be a window over the whole table in one task.
 
 Rows are bucketed by ``i div BUCKET``. A bucket's total is a partial aggregate; the running total over buckets is a window
-over one row per bucket; inside a bucket a partitioned window does the rest. Buckets are a function of the index, so a
+over one row per bucket (some millions for 10^13 rows); inside a bucket a partitioned window does the rest. Buckets are a function of the index, so a
 recomputed task gives the same ones.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1 << 16
+BUCKET = 1 << 20
 #: Aggregate and combining function of each operation.
 OPERATIONS = {
     "sum": (F.sum, lambda a, b: a + b),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vecloom.operators.sparse import SparseTable
 
-SIDE = 256
+#: Ids of a block when all of a range are listed.
+BLOCK = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,20 +35,36 @@ def prices(spark, d) -> DataFrame:
 def segments(spark, d) -> DataFrame:
     """Every user id up to one past the largest, so one segment is empty."""
     top = table(spark, d, "events").agg(F.max("user_id").alias("m"))
-    return top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + 1)).alias("seg"))
+    blocks = top.select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") + 1) / BLOCK).cast("long"))).alias("b"))
+    ids = F.sequence(F.col("b") * BLOCK, F.least(F.col("b") * BLOCK + (BLOCK - 1), F.col("m") + 1))
+    return blocks.select(F.explode(ids).alias("seg"))
 
 
-def matrix(spark, d, which: str = "a", side: int = SIDE) -> SparseTable:
-    l = table(spark, d, "lineitem").filter("l_quantity >= 45" if which == "a" else "l_quantity <= 5")
+def side(spark, d) -> int:
+    """Orders are numbered from 0, and there are more of them than parts or suppliers. Read from the file's footer."""
+    return table(spark, d, "orders").count()
+
+
+def matrix(spark, d, which: str = "a") -> SparseTable:
+    """All line items: quantities by order and part, or by order and supplier, signed by line."""
     val = F.col("l_quantity") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
-    df = l.groupBy((F.col("l_orderkey") % side).alias("row"), (F.col("l_partkey") % side).alias("col")).agg(F.sum(val).alias("val"))
-    return SparseTable(df, side, side, "row_major")
+    col = F.col("l_partkey" if which == "a" else "l_suppkey")
+    df = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row"), col.alias("col")).agg(F.sum(val).alias("val"))
+    n = side(spark, d)
+    return SparseTable(df, n, n, "row_major")
+
+
+def nations(spark, d) -> SparseTable:
+    """Customers by nation and region: a matrix that is small whatever the number of customers."""
+    region = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), F.col("n_regionkey").cast("long").alias("col"))
+    held = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("_n")).agg(F.count("*").cast("double").alias("val"))
+    df = region.join(held, F.col("row") == F.col("_n")).select("row", "col", "val")
+    return SparseTable(df, table(spark, d, "nation").count(), table(spark, d, "region").count(), "row_major")
 
 
 def permutation(spark, d, k: int, c: int) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("i"))
-    n = p.count()
-    return p.select("i", ((F.col("i") * k + c) % n).alias("p"))
+    return p.select("i", ((F.col("i") * k + c) % p.agg(F.count("*")).scalar()).alias("p"))
 
 
 def tuples(spark, d) -> DataFrame:
@@ -62,9 +79,13 @@ SEG = "SELECT unnest(range(0, (SELECT max(user_id) + 2 FROM events))) AS seg"
 EMB = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings"
 
 
-def matrix_sql(which: str = "a", side: int = SIDE) -> str:
-    cond = "l_quantity >= 45" if which == "a" else "l_quantity <= 5"
-    return f"SELECT l_orderkey % {side} AS r, l_partkey % {side} AS c, sum(l_quantity * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) AS val FROM lineitem WHERE {cond} GROUP BY 1, 2"
+SIDE = "(SELECT count(*) FROM orders)"
+NATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS r, CAST(n_regionkey AS BIGINT) AS c, CAST(count(*) AS DOUBLE) AS val FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"
+
+
+def matrix_sql(which: str = "a") -> str:
+    col = "l_partkey" if which == "a" else "l_suppkey"
+    return f"SELECT l_orderkey AS r, {col} AS c, sum(l_quantity * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) AS val FROM lineitem GROUP BY 1, 2"
 
 
 def perm_sql(k: int, c: int) -> str:

@@ -1,4 +1,4 @@
-"""Vectors ``(i, v)`` and matrices from ranges, constants, random numbers, Python values and files."""
+"""Vectors ``(i, v)`` from ranges, constants, random numbers and Python values."""
 
 from __future__ import annotations
 
@@ -59,26 +59,3 @@ def normal_complex(spark: SparkSession, n: int, mean: float, deviation: float, s
 def from_values(spark: SparkSession, values: Sequence, kind: str = "double") -> DataFrame:
     """A vector from driver-side values."""
     return spark.createDataFrame(list(enumerate(values)), f"i long, v {kind}")
-
-
-def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, val) of a coordinate Matrix Market file: 1-based indices become 0-based; symmetric ones get both halves."""
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    head = lines.filter(F.col("value").startswith("%%")).first()
-    words = head[0].lower().split() if head else []
-    if len(words) < 5 or words[2] != "coordinate" or words[3] == "complex" or words[4] not in ("general", "symmetric"):
-        raise ValueError("only real or pattern coordinate files, general or symmetric, are read")
-    body = lines.filter(~F.col("value").startswith("%")).select(F.split(F.trim("value"), r"\s+").alias("x"))
-    # The size line is the first of the body; entries of a pattern have two fields, others three.
-    size = body.first()[0]
-    if words[3] == "pattern":
-        entries = body.filter(F.size("x") == 2).select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), F.lit(1.0).alias("val"))
-    else:
-        first = spark.read.text(path, wholetext=False).withColumn("at", F.monotonically_increasing_id())
-        at = first.filter(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0)).agg(F.min("at")).first()[0]
-        rest = first.filter((F.col("at") > at) & (F.length(F.trim("value")) > 0)).select(F.split(F.trim("value"), r"\s+").alias("x"))
-        entries = rest.select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), F.col("x")[2].cast("double").alias("val"))
-    out = entries.select((F.col("a").cast("long") - 1).alias("row"), (F.col("b").cast("long") - 1).alias("col"), "val")
-    if words[4] == "symmetric":
-        out = out.unionByName(out.filter("row <> col").select(F.col("col").alias("row"), F.col("row").alias("col"), "val"))
-    return out.filter((F.col("row") < int(size[0])) & (F.col("col") < int(size[1])))
