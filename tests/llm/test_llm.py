@@ -538,8 +538,58 @@ def test_repeats_equal_brute_force(spark, window):
     shared = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(4)]
     docs = [(i, " ".join(x for _ in range(rng.randint(0, 4)) for x in (" ".join(rng.choice("abé") for _ in range(rng.randint(0, 15))), rng.choice(shared)))) for i in range(120)] + [(130, None), (131, ""), (132, "a " * 3000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, window, group=200, chunk_bytes=900).collect()}
-    assert got == brute_repeats(docs, window)
+    for sizes in ({"group": 200, "chunk_bytes": 900, "tree": 40}, {"group": 200, "chunk_bytes": 900, "tree": 5000}, {}):
+        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, window, **sizes).collect()}
+        assert got == brute_repeats(docs, window)
+
+
+def test_chance_equals_of_the_filter_remove_nothing(spark, monkeypatch):
+    """Window hashes with 50 values only: nearly all suffixes survive the filter, and the trees tell them apart."""
+
+    class Chunk(repeats.Chunk):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.paths = self.paths % np.uint64(50) * np.uint64(1 << 58)
+
+    class Passages(repeats.Passages):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.paths = self.paths % np.uint64(50) * np.uint64(1 << 58)
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(60))) for i in range(50)]
+    docs += [(60 + i, docs[i][1][: 100 + 20 * i]) for i in range(8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(repeats, "Chunk", Chunk)
+    monkeypatch.setattr(repeats, "Passages", Passages)
+    got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, 5, group=500, chunk_bytes=3000, tree=100).collect()}
+    assert got == brute_repeats(docs, 5) and sum(x[1] for x in got.values()) > 100
+
+
+def test_repeats_of_rows_without_id_and_of_equal_rows(spark):
+    w = [f"w{k}" for k in range(40)]
+    docs = [(None, " ".join(w[:10])), (None, " ".join(w[:10])), (None, " ".join(w[5:20])), (3, " ".join(w)), (3, " ".join(w)), (4, " ".join(w[::-1])), (5, None)]
+    got = sorted(((str(r[0]), *tuple(r)[1:3]) for r in repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 5).collect()))
+    both = [x for x in got if x[0] == "None"]
+    assert len(both) == 3 and sum(x[2] for x in both) in (5, 10)  # the later of the two texts loses the five words that both have
+    assert [x for x in got if x[0] != "None"] == [("3", 40, 20), ("3", 40, 20), ("4", 40, 0), ("5", 0, 0)]
+
+
+def test_trees_are_suffixes_in_order_with_common_prefixes():
+    rng = np.random.default_rng(4)
+    m = rng.integers(1, 4, (300, 6)).astype(np.uint32) * np.uint32(256)
+    order, common = repeats.tree_of(m)
+    rows = [tuple(r) for r in m[order].tolist()]
+    assert rows == sorted(rows)
+    assert common.tolist() == [0] + [next((k for k in range(6) if a[k] != b[k]), 6) for a, b in zip(rows, rows[1:])]
+
+
+def test_words_of_long_texts_come_in_pieces(monkeypatch):
+    text = b"  ab c\td\x0be\x1cf \n" * 50 + b"x" * 100
+    for size in (1, 7, 40, 10_000):
+        assert [w for p in common.word_pieces(text, size) for w in p] == text.split()
+    first, end = common.word_spans(text)
+    assert [text[a:b] for a, b in zip(first, end)] == text.split() and len(common.word_spans(b"")[0]) == 0
 
 
 def test_path_hashes_name_word_runs():

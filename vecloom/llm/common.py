@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +113,58 @@ def texts(batch: pa.RecordBatch, column: str, first: int, end: int) -> list[byte
     return [x or b"" for x in part.cast(pa.binary()).to_pylist()]
 
 
+#: Words of long texts are taken from pieces of about this many bytes, so Python objects exist for one piece at a time.
+PIECE_BYTES = 2 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_pieces(text: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, a list for each piece; pieces are cut at white space."""
+    if len(text) <= size:
+        yield text.split()
+        return
+    at = 0
+    while at < len(text):
+        cut = SPACE.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, in bytes."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    turn = np.flatnonzero(inside[1:] != inside[:-1])
+    return turn[::2], turn[1::2]
+
+
+def hashed_words(text: bytes, digest: Callable[[bytes], int] = xxhash.xxh64_intdigest) -> np.ndarray:
+    """64-bit hash of each word."""
+    parts = [np.fromiter(map(digest, words), np.uint64, len(words)) for words in word_pieces(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back to the machine; workers outlive tasks and are shared by queries."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A function of Arrow batches that ends by giving its worker's freed memory back."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return trimmed
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts 0. Word starts are kept as one mark each, so no array of words is built."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

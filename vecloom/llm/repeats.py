@@ -1,16 +1,21 @@
 """Removal of repeated passages with prefix-partitioned suffix trees over words.
 
-A suffix starts at each word with ``WINDOW`` words to go. Suffixes are split by prefixes of variable length: the shortest
-of ``DEPTHS`` words whose share of the corpus (an exact count over all documents) fits a group of ``GROUP`` suffixes, so
-rare beginnings are grouped by one word and frequent ones by longer prefixes; what is still too large at full depth is
-dealt by its hash. A group is one task's subtree, kept as its leaves in order of their path hash: an internal node at
-depth ``WINDOW`` is a run of equal paths, that is a passage that occurs more than once. Neighbouring deep nodes make up the
-maximal repeats; all their occurrences but the first (by doc_id, then start) are covered by the removal.
-
-A path is 64 bits of hash, compared only inside a group. A mapper sends each path of a chunk of documents once (its first
-occurrence; later ones in the chunk are known to repeat), so copies and passages found in many documents cost a group
-at most one leaf for each chunk. Documents are never grouped by their content. What groups find goes back by bucket of documents,
-one packed row for each group and bucket.
+A suffix starts at each word with ``WINDOW`` words to go, and a tree is cut off at that depth: a node there is a passage that
+occurs more than once. Only suffixes that may have such a node are put into trees:
+
+1. Filter. Each suffix sends 32 bits of the hash of its window to a group of hashes. One that is alone there is a leaf that
+   branches off above the cut; it needs no tree. Chance equals survive, and the trees tell them apart.
+2. Passages. The survivors of a document that follow each other make up one passage, and passages of equal text are one,
+   compared as text: all but the first of them (by doc_id, then start) go as a whole.
+3. Trees. The suffixes of distinct passages are split by prefixes of variable length: the shortest of ``DEPTHS`` words whose
+   count fits a group of ``GROUP`` suffixes; what is too large even at full depth is dealt by its window. A group is one
+   task's tree: suffixes sorted word by word, with the longest common prefix of neighbours. Its nodes at the cut are runs of
+   neighbours that share all ``WINDOW`` words; all occurrences but the first are covered by the removal. Neighbouring
+   windows of a document make up the maximal repeats.
+
+Words are compared as themselves, so no hash decides what is removed. A mapper sends each window of a chunk of documents once,
+so copies and passages found in many documents cost a group at most one leaf for each chunk. Documents are never grouped
+by their content. What is found goes back by bucket of documents, one packed row for each group and bucket.
 """
 
 from __future__ import annotations
@@ -21,28 +26,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, slices, stored, text_batches, texts
+from vecloom.llm.common import hashed_words, lean, only, slices, stored, text_batches, texts, trim, word_pieces, word_spans
 
 WINDOW = 20
-DEPTHS = (1, 3)
-#: Suffixes of a group: about 10 bytes each while they travel, some 50 while the task sorts them.
+DEPTHS = (1, 2, 4, 8)
+#: Suffixes of a group of the filter (some 40 bytes each while the task sorts them) and bytes of text for each of them.
 GROUP = 2 << 20
-CELLS = 4096
+WORD_BYTES = 6
+#: Suffixes of a tree (some 300 bytes each in its task).
+TREE = 1 << 18
+#: Cells in which prefixes are counted: four for each tree, between these bounds.
+CELLS, MOST_CELLS = 1 << 12, 1 << 18
+#: Bytes of text in a chunk of a mapper, and of passages in a group.
 CHUNK_BYTES = 6 << 20
+PASSAGE_BYTES = 64 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Ids of affected documents (16 bytes each) that are broadcast to select their texts; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 NULL_ID = -(1 << 63)
-#: A document's entry in a blob of removals.
+#: A document's entry in a blob of runs, and a passage's in a blob of passages.
 HEAD = np.dtype([("id", np.int64), ("mark", np.int64), ("n", np.int64)])
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+PLACE = np.dtype([("id", np.int64), ("mark", np.int64), ("start", np.int64), ("size", np.int64)])
 
 
 def path_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -82,6 +90,17 @@ def unplanes(data: memoryview, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(kind).reshape(-1)
 
 
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value of the keys begins."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def runs_of(starts: np.ndarray) -> np.ndarray:
     """Ascending starts as pairs (first, last) of consecutive runs, flat."""
     cut = np.flatnonzero(np.diff(starts) != 1)
@@ -89,10 +108,142 @@ def runs_of(starts: np.ndarray) -> np.ndarray:
     return np.stack([first, last], 1).reshape(-1).astype(np.int32)
 
 
+def merged(runs: list[int] | np.ndarray) -> np.ndarray:
+    """Runs of starts, in any order and overlapping, as longest runs (first, last)."""
+    pairs = np.array(runs, np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    ends = np.maximum.accumulate(pairs[:, 1])
+    new = np.concatenate(([True], pairs[1:, 0] > ends[:-1] + 1))
+    at = np.flatnonzero(new)
+    return np.stack([pairs[at, 0], ends[np.append(at[1:], len(pairs)) - 1]], 1)
+
+
+def by_document(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> bytes:
+    """Occurrences as a blob: (id, mark, number of run ends) for each document, then the runs."""
+    if not len(starts):
+        return b""
+    order = np.lexsort((starts, marks, ids))
+    ids, marks, starts = ids[order], marks[order], starts[order]
+    own = heads(ids, marks, starts)
+    ids, marks, starts = ids[own], marks[own], starts[own]
+    cut = heads(ids, marks)
+    runs = [runs_of(starts[a:b]) for a, b in zip(cut, np.append(cut[1:], len(starts)))]
+    head = np.zeros(len(runs), HEAD)
+    head["id"], head["mark"], head["n"] = ids[cut], marks[cut], [len(r) for r in runs]
+    return packed(head, np.concatenate(runs))
+
+
+def packed(head: np.ndarray, runs: np.ndarray) -> bytes:
+    return len(head).to_bytes(8, "little") + head.tobytes() + runs.astype(np.int32).tobytes()
+
+
+def opened(blobs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Heads of all documents' runs and the runs, ordered by document."""
+    head, value = [np.zeros(0, HEAD)], [np.zeros(0, np.int32)]
+    for data in map(memoryview, blobs):
+        n = int.from_bytes(data[:8], "little")
+        head.append(np.frombuffer(data, HEAD, n, 8))
+        value.append(np.frombuffer(data, np.int32, -1, 8 + HEAD.itemsize * n))
+    head, value = np.concatenate(head), np.concatenate(value)
+    order = np.lexsort((head["mark"], head["id"]))
+    first = np.cumsum(head["n"]) - head["n"]
+    n = head["n"][order]
+    at = np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return head[order], value[at]
+
+
+def dealt(blobs: list, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Runs of documents, one blob for each bucket of documents."""
+    head, value = opened([b for b in blobs if len(b)])
+    b = ((head["id"].astype(np.uint64) * np.uint64(BASE) ^ head["mark"].astype(np.uint64)) * np.uint64(BASE) >> np.uint64(24)).astype(np.int64) % buckets
+    first = np.cumsum(head["n"]) - head["n"]
+    order = np.argsort(b, kind="stable")
+    cuts, out_b, out = heads(b[order]), [], []
+    for i, j in zip(cuts, np.append(cuts[1:], len(b))):
+        own = head[order[i:j]]
+        at = np.repeat(first[order[i:j]] - (np.cumsum(own["n"]) - own["n"]), own["n"]) + np.arange(own["n"].sum())
+        out_b.append(int(b[order[i]]))
+        out.append(packed(own, value[at]))
+    return out_b, out
+
+
+class Chunk:
+    """Documents of a mapper in order of (doc_id, mark), with the window hashes of their suffixes."""
+
+    def __init__(self, docs: list[tuple[int, int, np.ndarray]], window: int):
+        docs.sort(key=lambda d: d[:2])
+        docs = [d for i, d in enumerate(docs) if (i == 0 or d[:2] != docs[i - 1][:2]) and len(d[2]) >= window]
+        self.ids = np.array([d[0] for d in docs], np.int64)
+        self.marks = np.array([d[1] for d in docs], np.int64)
+        paths = [path_hashes(d[2], window) for d in docs]
+        self.paths = np.concatenate([np.zeros(0, np.uint64), *paths])
+        sizes = [len(p) for p in paths]
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+        self.start = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)])
+
+    def leaves(self, groups: int) -> Iterator[tuple[int, int, bytes]]:
+        """(group, kind, blob): kind 0, the first occurrence of each window for its group; kind 1, windows that are here more than once."""
+        if not len(self.paths):
+            return
+        order = np.argsort(self.paths, kind="stable")
+        cut = heads(self.paths[order])
+        n = np.diff(np.append(cut, len(order)))
+        again = np.sort(order[np.repeat(n > 1, n)])
+        if len(again):  # any group will do; chunks spread over all
+            yield int(self.paths[0] % np.uint64(groups)), 1, by_document(self.ids[self.doc[again]], self.marks[self.doc[again]], self.start[again])
+        once = np.sort(order[cut])
+        g = (((self.paths[once] >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(g.astype(np.uint16) if groups < 65536 else g, kind="stable")
+        cuts = heads(g[by])
+        for a, b in zip(cuts, np.append(cuts[1:], len(by))):
+            own = once[by[a:b]]
+            doc, start = self.doc[own], self.start[own]
+            at = heads(doc)
+            step = np.diff(start, prepend=0)
+            step[at] = start[at]
+            n = np.diff(np.append(at, len(own))).astype(np.uint32)
+            blob = [len(own).to_bytes(8, "little"), len(at).to_bytes(8, "little"), self.paths[own].astype(np.uint32).tobytes(), planes(step.astype(np.uint32)), planes(np.diff(self.ids[doc[at]], prepend=0)), self.marks[doc[at]].tobytes(), planes(n)]
+            yield int(g[by[a]]), 0, b"".join(blob)
+
+
+def survivors(kinds: list[int], blobs: list, buckets: int) -> tuple[list[int], list[bytes]]:
+    """The suffixes of a group whose 32 bits are not alone, and those that a chunk holds more than once, by bucket."""
+    local, bits, starts, ids, marks = [], [], [], [], []
+    for kind, blob in zip(kinds, blobs):
+        data = memoryview(blob)
+        if kind:
+            local.append(data)
+            continue
+        n, m = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+        at = 16
+        bits.append(np.frombuffer(data, np.uint32, n, at))
+        at += 4 * n
+        step = unplanes(data[at:], "u4", n).astype(np.int64)
+        at += 4 * n
+        doc_ids = np.cumsum(unplanes(data[at:], "i8", m))
+        at += 8 * m
+        own = np.frombuffer(data, np.int64, m, at)
+        at += 8 * m
+        count = unplanes(data[at:], "u4", m).astype(np.int64)
+        first = np.cumsum(count) - count
+        total = np.cumsum(step)
+        starts.append((total - np.repeat(total[first] - step[first], count)).astype(np.int32))
+        ids.append(np.repeat(doc_ids, count))
+        marks.append(np.repeat(own, count))
+    if bits:
+        bit = np.concatenate(bits)
+        order = np.argsort(bit)
+        same = bit[order[1:]] == bit[order[:-1]]
+        inner = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
+        local.append(by_document(np.concatenate(ids)[inner], np.concatenate(marks)[inner], np.concatenate(starts)[inner].astype(np.int64)))
+    return dealt(local, buckets)
+
+
 class Routes:
-    """Group of each suffix, from the counts of prefix cells by depth."""
+    """Tree of each suffix, from the counts of prefix cells by depth; the last row of counts is that of whole windows."""
 
     def __init__(self, counts: np.ndarray, group: int):
+        self.cells = np.uint64(counts.shape[1])
         self.fits = counts[:-1] <= group
         sizes = np.where(self.fits, counts[:-1], 0).astype(np.float64)
         self.place = (np.cumsum(sizes.reshape(-1)) // group).astype(np.int64).reshape(sizes.shape)
@@ -102,202 +253,282 @@ class Routes:
         own = np.cumsum(np.where(self.parts > 1, self.parts, 0))
         self.deep = np.where(self.parts > 1, first + int(fill.max(initial=0)) + 1 + own - self.parts, first + fill)
 
-    def group(self, prefixes: list[np.ndarray], paths: np.ndarray) -> np.ndarray:
-        cell = (paths >> np.uint64(52)).astype(np.int64)
+    def cell(self, paths: np.ndarray) -> np.ndarray:
+        return (((paths >> np.uint64(32)) * self.cells) >> np.uint64(32)).astype(np.int64)
+
+    def tree(self, prefixes: list[np.ndarray], paths: np.ndarray) -> np.ndarray:
+        cell = self.cell(paths)
         out = self.deep[cell] + ((paths * np.uint64(BASE)) >> np.uint64(20)).astype(np.int64) % self.parts[cell]
         for d in range(len(prefixes) - 1, -1, -1):
-            cell = (prefixes[d] >> np.uint64(52)).astype(np.int64)
+            cell = self.cell(prefixes[d])
             out = np.where(self.fits[d][cell], self.place[d][cell], out)
         return out
 
 
-class Chunk:
-    """Documents of a mapper, in order of (doc_id, mark), with their suffixes."""
+class Passages:
+    """Passages of a mapper as words of a dictionary, with the suffixes that have a whole window."""
 
-    def __init__(self, docs: list[tuple[int, int, np.ndarray]], window: int):
-        docs.sort(key=lambda d: d[:2])
-        docs = [d for i, d in enumerate(docs) if (i == 0 or d[:2] != docs[i - 1][:2]) and len(d[2]) >= window]
-        self.ids = np.array([d[0] for d in docs], np.int64)
-        self.marks = np.array([d[1] for d in docs], np.uint32)
-        sizes = np.array([len(d[2]) for d in docs], np.int64)
-        h = np.concatenate([d[2] for d in docs]) if docs else np.zeros(0, np.uint64)
-        begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if docs else np.zeros(0, np.int64)
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, bodies: list[bytes], window: int):
+        words = [b.split() for b in bodies]
+        sizes = np.array([len(w) for w in words], np.int64)
+        coded = pa.array([x for w in words for x in w], pa.binary()).dictionary_encode()
+        self.words, self.text = coded.dictionary, coded.indices.to_numpy().astype(np.uint32)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in self.words), np.uint64, len(self.words))[self.text]
         count = sizes - window + 1
-        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), count)
-        self.start = (np.arange(len(self.doc)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)) if docs else np.zeros(0, np.int64)
-        at = self.start + np.repeat(begin, count) if docs else self.start
-        self.paths = path_hashes(h, window)[at]
-        self.prefixes = [path_hashes(h, min(d, window))[at] for d in DEPTHS]
-
-
-def scan(rows: DataFrame, window: int, chunk_bytes: int, use, schema: str) -> DataFrame:
-    """Hand chunks of documents to ``use`` and its record batches on; texts are read once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = np.cumsum(sizes) - sizes
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        self.at = np.repeat(begin, count) + offset
+        self.ids, self.marks, self.starts = np.repeat(ids, count), np.repeat(marks, count), np.repeat(starts, count) + offset
+        whole = path_hashes(hashes, window)
+        self.paths = whole[self.at]
+        self.prefixes = [path_hashes(hashes, min(d, window))[self.at] for d in DEPTHS]
+        self.window = window
+
+    def matrix(self, own: np.ndarray) -> np.ndarray:
+        return sliding_window_view(self.text, self.window)[self.at[own]]
+
+    def counts(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.concatenate([np.bincount((((p >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64), minlength=cells) for p in [*self.prefixes, self.paths]])
+        at = np.flatnonzero(own)
+        return at, own[at]
+
+    def leaves(self, routes: Routes) -> Iterator[tuple[int, int, bytes]]:
+        """(tree, kind, blob): as in the filter; windows that are here more than once go as their first occurrence, the others are known."""
+        order = np.lexsort((self.starts, self.marks, self.ids, self.paths))
+        # Equal hashes are followed by a comparison of the words: a run ends where the words differ.
+        new = np.ones(len(order), bool)
+        may = np.flatnonzero(self.paths[order][1:] == self.paths[order][:-1]) + 1
+        for a in range(0, len(may), 1 << 16):
+            k = may[a : a + (1 << 16)]
+            new[k] = (self.matrix(order[k]) != self.matrix(order[k - 1])).any(1)
+        tree = routes.tree(self.prefixes, self.paths)
+        later = order[~new]
+        if len(later):
+            yield int(tree[later[0]]), 1, by_document(self.ids[later], self.marks[later], self.starts[later])
+        once = order[new]
+        by = once[np.argsort(tree[once], kind="stable")]
+        cuts = heads(tree[by])
+        for a, b in zip(cuts, np.append(cuts[1:], len(by))):
+            own = np.sort(by[a:b])
+            m = self.matrix(own)
+            used = np.zeros(len(self.words), bool)
+            used[m] = True
+            held = np.flatnonzero(used)
+            kind = np.uint16 if len(held) <= 1 << 16 else np.uint32
+            number = np.zeros(len(used), kind)
+            number[held] = np.arange(len(held))
+            text = b" ".join(self.words.take(pa.array(held)).to_pylist())
+            blob = [np.array([len(own), len(held), len(text), np.dtype(kind).itemsize], np.int64).tobytes(), text, number[m].tobytes(), self.ids[own].tobytes(), self.marks[own].tobytes(), self.starts[own].tobytes()]
+            yield int(tree[by[a]]), 0, b"".join(blob)
+
+
+def tree_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves of a tree in order, and how many words each has in common with the one before it."""
+    wide = m.astype(">u4")
+    order = np.argsort(np.ascontiguousarray(wide).view(f"S{4 * m.shape[1]}").reshape(-1), kind="stable")
+    m = m[order]
+    same = m[1:] == m[:-1]
+    common = np.where(same.all(1), m.shape[1], same.argmin(1))
+    return order, np.concatenate((np.zeros(min(1, len(m)), np.int64), common))
+
+
+def later_in_tree(kinds: list[int], blobs: list, window: int, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Occurrences of the nodes at the cut of one tree, but for the first of each, by bucket."""
+    found, words, ms, ids, marks, starts = [], [], [], [], [], []
+    for kind, blob in zip(kinds, blobs):
+        data = memoryview(blob)
+        if kind:
+            found.append(data)
+            continue
+        n, m, size, width = np.frombuffer(data, np.int64, 4).tolist()
+        at = 32 + size
+        words.append(bytes(data[32:at]).split(b" "))
+        ms.append(np.frombuffer(data, f"u{width}", n * window, at).reshape(n, window))
+        at += n * window * width
+        for i, into in enumerate((ids, marks, starts)):
+            into.append(np.frombuffer(data, np.int64, n, at + 8 * n * i))
+    if ms:
+        # One dictionary for all: equal words get equal numbers, from 1 on so that no number is a zero.
+        known = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.uint32) + np.uint32(1)
+        ends = np.cumsum([len(w) for w in words])
+        m = np.concatenate([known[e - len(w) : e][x] for w, e, x in zip(words, ends, ms)])
+        order, common = tree_of(m)
+        doc_id, mark, start = (np.concatenate(x)[order] for x in (ids, marks, starts))
+        node = np.cumsum(common < window)
+        place = np.lexsort((start, mark, doc_id, node))
+        first = np.zeros(len(place), bool)
+        first[heads(node[place])] = True
+        gone = place[~first]
+        found.append(by_document(doc_id[gone], mark[gone], start[gone]))
+    return dealt(found, buckets)
+
+
+BLOBS = "bucket long, runs binary"
+
+
+def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_bytes: int) -> DataFrame:
+    """(d, m, runs) with first and last starts of windows that also start earlier, from ``rows(doc_id, mark, text)``."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // (WORD_BYTES * group)))
+    batch_of = lambda rows, kinds, names: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    sent = ([pa.int64(), pa.int32(), pa.binary()], ["g", "kind", "leaves"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], 0
         for batch in batches:
             ids, marks = batch.column("doc_id").fill_null(NULL_ID).to_pylist(), batch.column("mark").to_pylist()
             for a, b in slices(batch, "text"):
                 for i, text in enumerate(texts(batch, "text", a, b), a):
-                    docs.append((ids[i], marks[i], word_hashes(text)))
+                    docs.append((ids[i], marks[i], hashed_words(text)))
                     held += len(text)
                     if held >= chunk_bytes:
-                        yield from use(Chunk(docs, window))
+                        if out := list(Chunk(docs, window).leaves(groups)):
+                            yield batch_of(out, *sent)
                         docs, held = [], 0
-        if docs:
-            yield from use(Chunk(docs, window))
-
-    return rows.mapInArrow(run, schema)
+        if docs and (out := list(Chunk(docs, window).leaves(groups))):
+            yield batch_of(out, *sent)
 
+    def columns(table: pa.Table) -> tuple[list[int], list]:
+        return table.column("kind").to_pylist(), [x.as_buffer() for x in table.column("leaves")]
 
-def removal_runs(rows: DataFrame, window: int = WINDOW, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, mark, runs) with first and last starts of windows that also start earlier, from ``rows(doc_id, mark, text)``."""
-
-    def count(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        own = np.concatenate([np.bincount((p >> np.uint64(52)).astype(np.int64), minlength=CELLS) for p in [*chunk.prefixes, chunk.paths]])
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["cell", "n"])
-
-    table = scan(rows, window, chunk_bytes, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(DEPTHS) + 1) * CELLS, np.int64)
-    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    routes = Routes(counts.reshape(len(DEPTHS) + 1, CELLS), group)
-
-    def known(doc_ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
-        """Removals of some documents: (id, mark, number of run ends) for each, then the runs."""
-        if not len(doc):
-            return b""
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
-        runs = [runs_of(start[a:b]) for a, b in zip(cut, cut[1:])]
-        head = np.zeros(len(runs), HEAD)
-        head["id"], head["mark"], head["n"] = doc_ids[doc[cut[:-1]]], marks[doc[cut[:-1]]], [len(r) for r in runs]
-        return len(runs).to_bytes(8, "little") + head.tobytes() + np.concatenate(runs).tobytes()
-
-    def send(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        if not len(chunk.paths):
-            return
-        order = np.argsort(chunk.paths)
-        ordered = chunk.paths[order]
-        first = np.minimum.reduceat(order, np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))))
-        once = np.zeros(len(order), bool)
-        once[first] = True
-        again = np.flatnonzero(~once)
-        groups, blobs, kinds = [], [], []
-        once = np.flatnonzero(once)
-        g = routes.group([p[once] for p in chunk.prefixes], chunk.paths[once])
-        by = np.argsort(g.astype(np.uint16) if g.max() < 65536 else g, kind="stable")
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(g[by])) + 1, [len(by)]))
-        if len(again):
-            groups.append(int(g[by[0]]))
-            kinds.append(1)
-            blobs.append(known(chunk.ids, chunk.marks, chunk.doc[again], chunk.start[again]))
-        for a, b in zip(cuts, cuts[1:]):
-            own = once[by[a:b]]
-            doc, start = chunk.doc[own], chunk.start[own]
-            new = np.concatenate(([True], doc[1:] != doc[:-1]))
-            at = np.flatnonzero(new)
-            step = np.diff(start, prepend=0)
-            step[at] = start[at]
-            ids = chunk.ids[doc[at]]
-            n = np.diff(np.append(at, len(own))).astype(np.uint32)
-            blobs.append(len(own).to_bytes(8, "little") + len(at).to_bytes(8, "little") + chunk.paths[own].tobytes() + planes(step.astype(np.uint32)) + planes(np.diff(ids, prepend=0)) + chunk.marks[doc[at]].tobytes() + planes(n))
-            groups.append(int(g[by[a]]))
-            kinds.append(0)
-        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["g", "kind", "leaves"])
-
-    buckets = max(1, -(-int(counts[-CELLS:].sum()) // group))
-
-    def opened(blobs: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
-        """Heads of all documents' removals and their runs, ordered by document."""
-        heads, values = [], []
-        for data in blobs:
-            n = int.from_bytes(data[:8], "little")
-            heads.append(np.frombuffer(data, HEAD, n, 8))
-            values.append(np.frombuffer(data, np.int32, -1, 8 + 24 * n))
-        head, value = np.concatenate(heads), np.concatenate(values)
-        order = np.lexsort((head["mark"], head["id"]))
-        first = np.concatenate(([0], np.cumsum(head["n"])[:-1]))
-        n = head["n"][order]
-        at = np.repeat(first[order] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return head[order], value[at]
-
-    def dealt(blobs: list[memoryview]) -> pa.Table:
-        """The removals that one group found, one blob for each bucket of documents."""
-        out_b, out = [], []
-        if blobs:
-            head, value = opened(blobs)
-            b = ((head["id"].astype(np.uint64) * np.uint64(BASE) ^ head["mark"].astype(np.uint64)) * np.uint64(BASE) >> np.uint64(24)).astype(np.int64) % buckets
-            first = np.concatenate(([0], np.cumsum(head["n"])[:-1]))
-            order = np.argsort(b, kind="stable")
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(b[order])) + 1, [len(b)]))
-            for i, j in zip(cuts, cuts[1:]):
-                own = head[order[i:j]]
-                at = np.repeat(first[order[i:j]] - np.concatenate(([0], np.cumsum(own["n"])[:-1])), own["n"]) + np.arange(own["n"].sum())
-                out_b.append(int(b[order[i]]))
-                out.append(len(own).to_bytes(8, "little") + own.tobytes() + value[at].tobytes())
-        return pa.table({"bucket": pa.array(out_b, pa.int64()), "runs": pa.array(out, pa.binary())})
-
-    out_schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("runs", pa.list_(pa.int32()))])
+    def blobs(found: tuple[list[int], list[bytes]]) -> pa.Table:
+        trim()
+        return pa.table({"bucket": pa.array(found[0], pa.int64()), "runs": pa.array(found[1], pa.binary())})
 
     def gathered(table: pa.Table) -> pa.Table:
         """A row for each document of a bucket."""
-        head, value = opened([memoryview(x.as_buffer()) for x in table.column("runs")])
-        cut = np.flatnonzero(np.concatenate(([True], (head["id"][1:] != head["id"][:-1]) | (head["mark"][1:] != head["mark"][:-1]))))
+        head, value = opened([x.as_buffer() for x in table.column("runs")])
+        cut = heads(head["id"], head["mark"])
         ends = np.concatenate(([0], np.cumsum(head["n"])))
         offsets = np.append(ends[cut], ends[-1]).astype(np.int32)
         ids = head["id"][cut]
-        return pa.Table.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(head["mark"][cut]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))], schema=out_schema)
+        kinds = pa.schema([("d", pa.int64()), ("m", pa.int64()), ("runs", pa.list_(pa.int32()))])
+        return pa.Table.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(head["mark"][cut]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))], schema=kinds)
+
+    def per_document(found: DataFrame, name: str) -> DataFrame:
+        return stored(found.groupBy("bucket").applyInArrow(lambda t: gathered(t.select(["runs"])), "d long, m long, runs array<int>"), name)
 
-    def subtree(table: pa.Table) -> pa.Table:
-        """Leaves of one group; runs of equal paths are its deep internal nodes."""
-        local, paths, starts, ids, marks = [], [], [], [], []
-        for kind, leaves in zip(table.column("kind").to_pylist(), table.column("leaves")):
-            data = memoryview(leaves.as_buffer())
+    leaves = rows.mapInArrow(lean(scan), "g long, kind int, leaves binary")
+    alive = leaves.groupBy("g").applyInArrow(lambda t: blobs(survivors(*columns(t), groups)), BLOBS)
+    alive = per_document(alive, "survivors")
+
+    # Passages of survivors; those of equal text are one.
+    passage_groups = max(1, -(-size // PASSAGE_BYTES))
+
+    def local(places: list[tuple[int, int, int]], sizes: list[int]) -> bytes:
+        """Whole passages as runs."""
+        if not places:
+            return b""
+        head = np.zeros(len(places), HEAD)
+        head["id"], head["mark"] = [p[0] for p in places], [p[1] for p in places]
+        head["n"] = 2
+        return packed(head, np.array([[p[2], p[2] + n - window] for p, n in zip(places, sizes)], np.int64).reshape(-1))
+
+    def kept_first(found: dict, place: tuple[int, int, int], body: bytes, gone: list) -> None:
+        first = found.get(body)
+        if first is None or place < first:
+            found[body] = place
+            place = first
+        if place is not None and place != found[body]:
+            gone.append((place, body.count(b" ") + 1))
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, gone, held = {}, [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = [(g, 0, blob) for g, blob in packed_passages(found)]
+            if gone:
+                rows.append((xxhash.xxh64_intdigest(repr(gone[0]).encode()) % passage_groups, 1, local(*zip(*gone))))
+            return batch_of(rows, *sent)
+
+        def packed_passages(found: dict) -> Iterator[tuple[int, bytes]]:
+            by: dict[int, list] = {}
+            for body, place in found.items():
+                by.setdefault(xxhash.xxh64_intdigest(body) % passage_groups, []).append((place, body))
+            for g, own in by.items():
+                head = np.array([(*p, len(b)) for p, b in own], PLACE)
+                yield g, len(own).to_bytes(8, "little") + head.tobytes() + b"".join(b for _, b in own)
+
+        for batch in batches:
+            ids, marks, runs = batch.column("doc_id").fill_null(NULL_ID).to_pylist(), batch.column("mark").to_pylist(), batch.column("runs")
+            for a, b in slices(batch, "text"):
+                for i, text in enumerate(texts(batch, "text", a, b), a):
+                    for first, body in passages_of(text, merged(runs[i].values.to_numpy()), window):
+                        kept_first(found, (ids[i], marks[i], first), body, gone)
+                        held += len(body)
+                    if held >= chunk_bytes:
+                        yield out()
+                        found, gone, held = {}, [], 0
+        if found:
+            yield out()
+
+    def distinct(table: pa.Table) -> pa.Table:
+        found, gone, known = {}, [], []
+        for kind, blob in zip(*columns(table)):
+            data = memoryview(blob)
             if kind:
-                local.append(data)
+                known.append(data)
                 continue
-            n, m = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
-            at = 16
-            paths.append(np.frombuffer(data, np.uint64, n, at))
-            at += 8 * n
-            step = unplanes(data[at:], "u4", n).astype(np.int64)
-            at += 4 * n
-            doc_ids = np.cumsum(unplanes(data[at:], "i8", m))
-            at += 8 * m
-            own = np.frombuffer(data, np.uint32, m, at)
-            at += 4 * m
-            count = unplanes(data[at:], "u4", m).astype(np.int64)
-            first = np.concatenate(([0], np.cumsum(count)[:-1]))
-            total = np.cumsum(step)
-            starts.append((total - np.repeat(total[first] - step[first], count)).astype(np.int32))
-            ids.append(np.repeat(doc_ids, count))
-            marks.append(np.repeat(own, count))
-        if paths:
-            path = np.concatenate(paths)
-            order = np.argsort(path)
-            same = path[order[1:]] == path[order[:-1]]
-            inner = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-            if len(inner):
-                path, doc_id, mark, start = path[inner], np.concatenate(ids)[inner], np.concatenate(marks)[inner], np.concatenate(starts)[inner]
-                order = np.lexsort((mark, doc_id, path))
-                path, doc_id, mark, start = path[order], doc_id[order], mark[order], start[order]
-                node = np.concatenate(([0], np.cumsum(path[1:] != path[:-1])))
-                head = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))[node]
-                later = (doc_id != doc_id[head]) | (mark != mark[head])
-                doc_id, mark, start = doc_id[later], mark[later], start[later]
-                order = np.lexsort((start, mark, doc_id))
-                doc_id, mark, start = doc_id[order], mark[order], start[order]
-                if len(order):
-                    doc = np.concatenate(([0], np.cumsum((doc_id[1:] != doc_id[:-1]) | (mark[1:] != mark[:-1]))))
-                    at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                    # equal rows in several chunks give the same start more than once
-                    fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))
-                    local.append(memoryview(known(doc_id[at], mark[at].astype(np.int64), doc[fresh], start[fresh])))
-        return dealt(local)
-
-    leaves = scan(rows, window, chunk_bytes, send, "g long, kind int, leaves binary")
-    found = leaves.groupBy("g").applyInArrow(lambda table: subtree(table.select(["kind", "leaves"])), "bucket long, runs binary")
-    return found.groupBy("bucket").applyInArrow(lambda table: gathered(table.select(["runs"])), "doc_id long, mark long, runs array<int>")
+            n = int.from_bytes(data[:8], "little")
+            head, at = np.frombuffer(data, PLACE, n, 8), 8 + PLACE.itemsize * n
+            for doc_id, mark, start, length in head.tolist():
+                kept_first(found, (doc_id, mark, start), bytes(data[at : at + length]), gone)
+                at += length
+        b, runs = dealt([*known, local(*zip(*gone)) if gone else b""], groups)
+        places, none = list(found.values()), [None] * len(found)
+        cols = [[*b, *none], [*runs, *none], *([*[None] * len(b), *(p[k] for p in places)] for k in range(3)), [*[None] * len(b), *found]]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        trim()
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "runs", "id", "mark", "start", "body"])
+
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    held = joined_texts(rows, alive, same)
+    moved = held.mapInArrow(lean(passages), "g long, kind int, leaves binary").groupBy("g")
+    both = stored(moved.applyInArrow(lambda t: distinct(t.select(["kind", "leaves"])), BLOBS + ", id long, mark long, start long, body binary"), "passages")
+    gone, firsts = both.filter("bucket IS NOT NULL").select("bucket", "runs"), both.filter("body IS NOT NULL").select("id", "mark", "start", "body")
+
+    # Trees over the distinct passages.
+    words = firsts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    cells = min(MOST_CELLS, max(CELLS, 1 << (4 * words // (WORD_BYTES * tree) + 1).bit_length()))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
+        for batch in batches:
+            for a, b in slices(batch, "body"):
+                part = batch.slice(a, b - a)
+                ids, marks, starts = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark", "start"))
+                yield Passages(ids, marks, starts, part.column("body").to_pylist(), window)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in chunk.counts(cells)], ["cell", "n"])
+
+    table = firsts.mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(DEPTHS) + 1) * cells, np.int64)
+    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    routes = Routes(counts.reshape(len(DEPTHS) + 1, cells), tree)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            yield batch_of(list(chunk.leaves(routes)), *sent)
+
+    nodes = firsts.mapInArrow(lean(grow), "g long, kind int, leaves binary").groupBy("g")
+    nodes = nodes.applyInArrow(lambda t: blobs(later_in_tree(*columns(t.select(["kind", "leaves"])), window, groups)), BLOBS)
+    return per_document(gone.unionByName(nodes), "runs")
+
+
+def passages_of(text: bytes, runs: np.ndarray, window: int) -> Iterator[tuple[int, bytes]]:
+    """(start, words) of each run of suffixes."""
+    first, end = word_spans(text)
+    for a, b in runs.tolist():
+        yield a, b" ".join(text[first[a] : end[b + window - 1]].split())
+
+
+def joined_texts(rows: DataFrame, found: DataFrame, same) -> DataFrame:
+    """(doc_id, mark, text, runs) of the documents that ``found(d, m, runs)`` names; only their texts are shuffled."""
+    keys = found.select("d", "m")
+    n = keys.count()
+    hit = rows.join(F.broadcast(keys) if n <= BROADCAST_IDS else keys, same, "left_semi")
+    return hit.join(found, same).select("doc_id", "mark", "text", "runs")
 
 
 def keep_mask(n: int, runs: list[int], window: int) -> np.ndarray:
@@ -309,45 +540,49 @@ def keep_mask(n: int, runs: list[int], window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False, tree: int = TREE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs(doc_id, text)``; with ``keep_text`` also the kept ``text``.
 
     Words are runs of other than ASCII white space, unchanged. Null text has none. Rows that share a doc_id but not the text
-    are separate documents in order of a text hash; equal rows are one document, whose result each of them gets. A null
-    doc_id comes before all others.
+    are separate documents in order of a 64-bit text hash; equal rows are one document, whose result each of them gets. A null
+    doc_id comes before all others. An empty table gives no row; other columns play no part.
     """
     text_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), text.alias("text"))
-    found = stored(removal_runs(rows.filter("text IS NOT NULL"), window, group, chunk_bytes).withColumnsRenamed({"doc_id": "d", "mark": "m"}), "runs")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    found = removal_runs(rows.filter("text IS NOT NULL"), window, group, tree, chunk_bytes)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text
     schema = "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
 
+    def kept(body: bytes, runs: list[int] | None) -> tuple:
+        """(words, removed, digest, kept text)."""
+        digest, lines, n, left, first = hashlib.sha256(), [], 0, 0, True
+        mask = keep_mask(sum(map(len, word_pieces(body))), runs, window) if runs else None
+        for words in word_pieces(body):
+            own = words if mask is None else [words[k] for k in np.flatnonzero(mask[n : n + len(words)])]
+            n, left = n + len(words), left + len(own)
+            if own:
+                line = (b"" if first else b" ") + b" ".join(own)
+                digest.update(line)
+                lines += [line] * keep_text
+                first = False
+        return n, n - left, digest.hexdigest(), *([b"".join(lines).decode("utf-8", "replace")] * keep_text)
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("runs").to_pylist() if "runs" in batch.schema.names else None
             for a, b in slices(batch, "text"):
-                out = []
-                for i, body in enumerate(texts(batch, "text", a, b), a):
-                    words = body.split()
-                    n = len(words)
-                    if runs is not None and runs[i]:
-                        words = [words[k] for k in np.flatnonzero(keep_mask(n, runs[i], window))]
-                    line = b" ".join(words)
-                    out.append((n, n - len(words), hashlib.sha256(line).hexdigest(), *([line.decode("utf-8", "replace")] * keep_text)))
+                out = [kept(body, runs and runs[i]) for i, body in enumerate(texts(batch, "text", a, b), a)]
                 kinds = [pa.int64(), pa.int64(), pa.string()] + [pa.string()] * keep_text
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "mark", *columns[1:]])
 
     if keep_text:
-        return rows.join(found, same, "left").select("doc_id", "mark", "text", "runs").mapInArrow(finish, schema).select(*columns)
-    whole = stored(rows.mapInArrow(finish, schema), "whole")
+        return rows.join(found, same, "left").select("doc_id", "mark", "text", "runs").mapInArrow(lean(finish), schema).select(*columns)
+    whole = stored(rows.mapInArrow(lean(finish), schema), "whole")
     untouched = whole.join(found.select("d", "m"), same, "left_anti")
-    keys = found.select("d", "m")
-    n_keys = keys.count()
-    hit = rows.join(F.broadcast(keys) if n_keys <= BROADCAST_IDS else keys, same, "left_semi")
-    changed = hit.join(found, same).select("doc_id", "mark", "text", "runs").mapInArrow(finish, schema)
+    changed = joined_texts(rows, found, same).mapInArrow(lean(finish), schema)
     return untouched.select(*columns).unionByName(changed.select(*columns))
 
 
