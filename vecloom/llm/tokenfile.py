@@ -36,8 +36,10 @@ CACHE_UNITS = 700_000
 NEW_UNITS = 200_000
 #: Texts are encoded in slices of this size.
 ENCODE_BYTES = 8 << 20
-#: White space outside ASCII.
-OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space other than single spaces and line feeds between other characters.
+IRREGULAR = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ ]|[ ]$"
+#: Units that begin with a space are encoded in lines of this many.
+LINE_UNITS = 1024
 STEM = re.compile(r"( ?[^\W_]+)([.,]\n?)")
 BROADCAST_SHARDS = 200_000
 
@@ -141,9 +143,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.odd = "|".join([IRREGULAR, *added])
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.batch = self.tok.encode_batch_fast if hasattr(self.tok, "encode_batch_fast") else self.tok.encode_batch
+        space = self.tok.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how a space is written in the vocabulary
+        self.opens = np.zeros(self.vocab, bool)
+        self.opens[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.startswith(space)]] = True
         self.new: dict[str, bytes] = {}
         self.kind, self.code = (np.uint16, "H") if self.vocab <= 1 << 16 else (np.uint32, "I")
         self.keys, self.table, self.used = pa.array([], pa.string()), listed([], self.kind), np.zeros(0, np.int64)
@@ -151,11 +157,19 @@ class Encoder:
     def many(self, parts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.batch(parts, add_special_tokens=False)]
 
-    @staticmethod
-    def regular(text: str) -> bool:
-        """No white space but single spaces and line feeds between other characters."""
-        odd = any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0") or not text.isascii() and OTHER_SPACE.search(text)
-        return not (odd or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] == " " or text[-1:] == " ")
+    def spaced(self, units: list[str]) -> list[bytes]:
+        """Ids of units that begin with their only space, encoded in lines: the first token of each holds the space."""
+        out: list[bytes] = []
+        lines = [units[i : i + LINE_UNITS] for i in range(0, len(units), LINE_UNITS)]
+        for own, e in zip(lines, self.batch(["".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(own) or cuts[0]:
+                out += self.many(own)
+                continue
+            data, ends = ids.tobytes(), (np.append(cuts, len(ids)) * ids.itemsize).tolist()
+            out += [data[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
     def learn(self, units: list[str]) -> list[bytes]:
         """Ids of units that the settled table lacks."""
@@ -163,7 +177,10 @@ class Encoder:
         missing = [u for u in units if u not in new]
         parts = {u: m.groups() for u in missing if (m := STEM.fullmatch(u))}
         fresh = list({x for m in parts.values() for x in m}.union(u for u in missing if u not in parts).difference(new))
-        new.update(zip(fresh, self.many(fresh)))
+        begin = [u for u in fresh if u[:1] == " " and u[-1] not in " \n"]
+        rest = [u for u in fresh if u[:1] != " " or u[-1] in " \n"]
+        new.update(zip(begin, self.spaced(begin)))
+        new.update(zip(rest, self.many(rest)))
         for u, (stem, tail) in parts.items():
             new[u] = new[stem] + new[tail]
         return list(map(new.__getitem__, units))
@@ -198,7 +215,8 @@ class Encoder:
     def encode(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number for each text."""
         batch = batch.cast(pa.string())
-        plain = np.fromiter((self.regular(t) and not any(a in t for a in self.added) for t in batch.to_pylist()), bool, len(batch))
+        odd = pc.match_substring_regex(batch, self.odd)
+        plain = ~odd.to_numpy(zero_copy_only=False)
         if plain.all() and len(batch):
             return self.encode_regular(pa.concat_arrays([batch]))
         each: list[np.ndarray] = [np.zeros(0, self.kind)] * len(batch)
