@@ -1,16 +1,20 @@
 """Exact top-k inner-product search with two cover trees, one over queries and one over data.
 
-A node covers its points within a radius around its centre point. For a query node Q and a data node R the score of any
-pair is at most ``cq.cr + rq*|cr| + rr*|cq| + rq*rr``; the pair of nodes is pruned when that is below the worst k-th score
-that any query in Q holds so far. Equal vectors share one point, so a vector that is very common costs one comparison;
-a point carries its smallest ids, as many as a query can need.
-
-Scale: queries are cut into blocks and data into shards; a task streams the rows of one shard past one query block and
-hands on k results a query, so what is shuffled after the search follows queries times shards, not queries times data.
+A node at level l covers its points within 2^l around its centre point, its children cover theirs within 2^(l-1), and the
+children's centres are more than 2^(l-1) apart. For a query node Q and a data node R the score of any pair is at most
+``cq.cr + rq*|cr| + rr*|cq| + rq*rr``; the pair of nodes is pruned when that is below the worst k-th score that any query in Q
+holds so far. Equal vectors share one point, so a vector that is very common costs one comparison; a point carries its
+smallest ids, as many as a query can need.
+
+Scale: data are dealt once to shards around pivots, and each shard's trees are built once and stored. A query first searches
+the shard whose centre scores best, which gives it a k-th score; then it goes only to the shards whose root bound reaches
+that score. Queries travel to shards, never data to queries: a task loads one shard's trees and streams queries past them.
+What is shuffled is the data once, and queries times the shards that may matter.
 """
 
 from __future__ import annotations
 
+import pickle
 from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, stored
+from vecloom.llm.common import lean, only, stored, trim
 
+#: Points of a leaf, of one tree, and of a shard (16 MB for 64 components of 16 bits).
 LEAF = 64
-FAN = 32
-QUERY_BLOCK = 4096
-SHARDS = 12
-DATA_BLOCK = 8192
-#: Components are kept within this bound, so that a score fits 64 bits.
-BOUND = 1 << 26
+TREE = 4096
+SHARD = 1 << 17
+#: Shards of a small table, for its tasks' sake; and of any table before shards are split by hash.
+FEWEST, MOST = 12, 1 << 14
+#: Roots of shards up to this many are sent to executors to route queries (8 bytes a component); with more, queries go to all shards.
+ROOTS = 1 << 16
+QUERY_BLOCK = 1024
+#: Components are below this after scaling; a larger one is an error.
+BOUND = float(1 << 62)
 
 
 @dataclass
@@ -37,13 +45,15 @@ class Node:
     centre: np.ndarray
     radius: float
     norm: float
+    level: int | None = None
     children: list["Node"] = field(default_factory=list)
     worst: float = -np.inf
 
 
-def build(x: np.ndarray, rows: np.ndarray) -> Node:
-    """Cover tree over ``x[rows]``. A node with radius r takes children's centres farthest first, until they cover it within
-    r/2 or there are ``FAN``; every point goes to the nearest one, and a child's radius is what its own points need."""
+def build(x: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
+    """Cover tree over the distinct points ``x[rows]``. Children's centres are taken farthest first until they cover the
+    node within half its scale, so they are farther than that from each other. Children of one point are kept together in a
+    node without children, around their parent's centre."""
     square = np.einsum("ij,ij->i", x, x)
 
     def distance(rows: np.ndarray, c: int) -> np.ndarray:
@@ -54,41 +64,85 @@ def build(x: np.ndarray, rows: np.ndarray) -> Node:
     def node(rows: np.ndarray, centre: int, dist: np.ndarray) -> Node:
         radius = float(dist.max())
         made = Node(rows, x[centre], radius, float(np.sqrt(square[centre])))
-        if len(rows) <= LEAF or radius == 0:
+        if len(rows) <= leaf or radius == 0:
             return made
+        level = int(np.ceil(np.log2(radius)))
+        scale = 2.0 ** (level - 1)
         near, owner, centres = dist.copy(), np.zeros(len(rows), np.int64), [centre]
-        while near.max() > radius / 2 and len(centres) < FAN:
-            far = int(rows[near.argmax()])
-            d = distance(rows, far)
+        while near[far := int(near.argmax())] > scale:
+            d = distance(rows, int(rows[far]))
             closer = d < near
             near[closer], owner[closer] = d[closer], len(centres)
-            centres.append(far)
+            centres.append(int(rows[far]))
+        if len(centres) == 1:  # points so close that rounding hides their order
+            return made
+        made.level = level
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], np.arange(len(centres) + 1))
+        single = []
         for k, c in enumerate(centres):
-            own = owner == k
-            if own.all():  # points so close that rounding hides their order
-                return made
-            if own.any():
+            own = order[cuts[k] : cuts[k + 1]]
+            if len(own) > 1:
                 made.children.append(node(rows[own], c, near[own]))
+            elif len(own):
+                single.append(int(own[0]))
+        if single:
+            made.children.append(Node(rows[single], made.centre, float(dist[single].max()), made.norm))
         return made
 
     root = int(rows[0])
     return node(rows, root, distance(rows, root))
 
 
+def forest(x: np.ndarray, size: int = TREE) -> list[Node]:
+    """Trees of at most ``size`` points, each of neighbours: points are halved between two far ones until they fit."""
+    trees, todo = [], [np.arange(len(x))] if len(x) else []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            trees.append(build(x, rows))
+            continue
+        a = x[rows[((x[rows] - x[rows[0]]) ** 2).sum(1).argmax()]]
+        b = x[rows[((x[rows] - a) ** 2).sum(1).argmax()]]
+        along = x[rows] @ (b - a)
+        order = np.argsort(along, kind="stable")
+        todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    return trees
+
+
+def slack(a, b):
+    """What rounding can change in a bound of inner products of vectors of these lengths."""
+    return 1e-9 * (a * b) + 1e-6
+
+
 class Search:
-    """Best k (score, id) of each query point; data arrives block by block and the bounds keep improving."""
+    """Best k (score, id) of each query point among the data that it is shown; bounds keep improving.
+
+    ``floors``: scores that the k-th best of a query is known to reach. Scores are exact: by floats while no partial sum can
+    pass 2^53, else by 64-bit integers while none can pass 2^62, else by Python's.
+    """
 
-    def __init__(self, x: np.ndarray, k: int):
+    def __init__(self, x: np.ndarray, k: int, floors: np.ndarray | None = None):
         self.x, self.k = x, k
         self.best: list[list[tuple[int, int]]] = [[] for _ in range(len(x))]
-        self.kth = np.full(len(x), -np.inf)
-        self.tree = build(x.astype(np.float64), np.arange(len(x)))
+        self.kth = np.full(len(x), -np.inf) if floors is None else floors.astype(np.float64)
+        self.xf = x.astype(np.float64)
+        self.trees = forest(self.xf)
+        for t in self.trees:
+            self.settle(t)
+
+    def settle(self, q: Node) -> None:
+        for c in q.children:
+            self.settle(c)
+        q.worst = float(self.kth[q.rows].min())
 
-    def add(self, y: np.ndarray, ids: list[list[int]]) -> None:
+    def add(self, y: np.ndarray, ids: list[list[int]], trees: list[Node] | None = None, yf: np.ndarray | None = None) -> None:
         self.y, self.ids = y, ids
-        self.exact = np.abs(self.x).max(initial=0).item() * np.abs(y).max(initial=0).item() * max(1, y.shape[1]) < 2**53
-        self.xf, self.yf = self.x.astype(np.float64), y.astype(np.float64)
-        self.visit(self.tree, [build(self.yf, np.arange(len(y)))])
+        self.yf = y.astype(np.float64) if yf is None else yf
+        most = int(max(abs(int(self.x.max(initial=0))), abs(int(self.x.min(initial=0))))) * int(max(abs(int(y.max(initial=0))), abs(int(y.min(initial=0))))) * max(1, y.shape[1])
+        self.wide = 0 if most < 2**53 else 1 if most < 2**62 else 2
+        for q in self.trees:
+            self.visit(q, forest(self.yf) if trees is None else trees)
 
     def visit(self, q: Node, data: list[Node]) -> None:
         """Compare q with the data nodes, best bound first; expand the data side until leaves, then the query side."""
@@ -98,7 +152,7 @@ class Search:
             c = np.array([r.centre for r in data])
             radius, norm = np.array([r.radius for r in data]), np.array([r.norm for r in data])
             bound = c @ q.centre + q.radius * norm + radius * q.norm + q.radius * radius
-            bound += 1e-9 * np.abs(bound) + 1e-6
+            bound += slack(q.norm + q.radius, norm + radius)
             keep = np.flatnonzero(bound >= q.worst)
             data = [data[i] for i in keep[np.argsort(-bound[keep], kind="stable")]]
             wide = [r for r in data if r.children and (r.radius > q.radius or not q.children)]
@@ -113,19 +167,27 @@ class Search:
             return
         for r in data:
             bound = float(r.centre @ q.centre + q.radius * r.norm + r.radius * q.norm + q.radius * r.radius)
-            if bound + 1e-9 * abs(bound) + 1e-6 >= q.worst:
+            if bound + slack(q.norm + q.radius, r.norm + r.radius) >= q.worst:
                 self.compare(q, r)
 
+    def scores(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        if self.wide == 0:
+            return self.xf[q] @ self.yf[r].T
+        if self.wide == 1:
+            return self.x[q] @ self.y[r].T
+        return self.x[q].astype(object) @ self.y[r].astype(object).T
+
     def compare(self, q: Node, r: Node) -> None:
-        scores = self.xf[q.rows] @ self.yf[r.rows].T if self.exact else self.x[q.rows] @ self.y[r.rows].T
-        hit = scores >= self.kth[q.rows][:, None]
+        scores = self.scores(q.rows, r.rows)
+        # The k-th scores are floats here, so a score near one may pass; the lists below are exact.
+        hit = scores.astype(np.float64) >= (self.kth[q.rows] - 1e-9 * np.abs(np.where(np.isinf(self.kth[q.rows]), 0, self.kth[q.rows])))[:, None]
         if not hit.any():
             return
         for a in np.flatnonzero(hit.any(1)):
             i = int(q.rows[a])
             best, s = self.best[i], scores[a]
             cand = np.flatnonzero(hit[a])
-            for b in cand[np.argsort(-s[cand], kind="stable")]:
+            for b in sorted(cand, key=lambda b: -s[b]) if self.wide else cand[np.argsort(-s[cand], kind="stable")]:
                 score = int(s[b])
                 if len(best) >= self.k and score < -best[self.k - 1][0]:
                     break
@@ -133,103 +195,193 @@ class Search:
                     insort(best, (-score, vec_id))
                 del best[self.k :]
             if len(best) >= self.k:
-                self.kth[i] = -best[-1][0]
+                self.kth[i] = max(self.kth[i], float(-best[-1][0]))
         q.worst = float(self.kth[q.rows].min())
 
 
 def integer_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): components floor(256 * x); vectors that are null or hold a null or non-finite component are left out."""
+    """(vec_id, v): components floor(256 * x) as longs. Vectors that are null or hold a null or non-finite component are left
+    out, as are rows without an id; a component that would pass 62 bits is an error."""
     x = F.col(f"`{vec_col}`")
     ok = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.col(f"`{id_col}`").isNotNull()
-    scaled = F.transform(x, lambda e: F.greatest(F.lit(-float(BOUND)), F.least(F.lit(float(BOUND)), e.cast("double") * 256)))
-    return only(table, id_col, vec_col).filter(F.coalesce(ok, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(scaled, lambda e: F.floor(e).cast("int")).alias("v"))
+    scaled = lambda e: e.cast("double") * 256
+    whole = F.transform(x, lambda e: F.when(F.abs(scaled(e)) < BOUND, F.floor(scaled(e))).otherwise(F.raise_error(F.lit("a component passes 62 bits")).cast("long")))
+    return only(table, id_col, vec_col).filter(F.coalesce(ok, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), whole.alias("v"))
+
+
+def matrix(column: pa.Array, wide: int) -> np.ndarray:
+    """Lists as rows, padded with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy().astype(np.int64)
+    if (sizes == wide).all():
+        return values.reshape(len(sizes), wide)
+    out = np.zeros((len(sizes), wide), np.int64)
+    for i, (a, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes)):
+        out[i, :n] = values[a : a + n]
+    return out
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The smallest integers that hold the values."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+
+
+def shipped(t: Node) -> tuple:
+    """A tree without its centres' components, to be stored."""
+    return t.rows.astype(np.int32), t.centre, t.radius, t.norm, t.level, [shipped(c) for c in t.children]
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, query_block: int = QUERY_BLOCK, shards: int = SHARDS) -> DataFrame:
+def landed(t: tuple) -> Node:
+    return Node(t[0], t[1], t[2], t[3], t[4], [landed(c) for c in t[5]])
+
+
+def indexed(points: DataFrame, wide: int, shard: int) -> DataFrame:
+    """(shard, pivot, centre, radius, trees): the stored trees of each shard of ``points(id, h, ids, v)``."""
+    n = points.count()
+    number = min(max(FEWEST, -(-n // shard)), MOST, max(n, 1))
+    sample = points.select("v").orderBy(F.xxhash64("id", "h", F.lit(1)), "id", "h").limit(number).toArrow().column("v").combine_chunks()
+    pivots = matrix(sample, wide).astype(np.float64)
+    square = (pivots**2).sum(1)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("v"), wide).astype(np.float64)
+            near = np.concatenate([(square - 2 * (x[a : a + 2048] @ pivots.T)).argmin(1) for a in range(0, len(x), 2048)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], [*batch.schema.names, "pivot"])
+
+    near = stored(points.select("id", "h", "ids", "v").mapInArrow(lean(assign), "id long, h long, ids array<long>, v array<long>, pivot long"), "near-pivots")
+    # At most MOST rows: a pivot with many points is several shards.
+    parts = F.broadcast(near.groupBy(F.col("pivot").alias("p")).agg(F.ceil(F.count("*") / F.lit(float(shard))).cast("long").alias("parts")))
+    dealt = near.join(parts, F.col("pivot") == F.col("p")).withColumn("shard", F.col("pivot") * (1 << 20) + F.pmod(F.xxhash64("id", "h", F.lit(2)), F.col("parts")))
+
+    def grow(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x = matrix(table.column("v").chunk(0), wide)
+        xf = x.astype(np.float64)
+        centre = xf.mean(0)
+        radius = float(np.sqrt(((xf - centre) ** 2).sum(1).max()))
+        body = pickle.dumps((narrow(x), table.column("ids").to_pylist(), [shipped(t) for t in forest(xf)]), 5)
+        out = [[table.column(c)[0].as_py()] for c in ("shard", "pivot")]
+        trim()
+        return pa.table([pa.array(c) for c in (*out, [centre.tolist()], [radius], [body])], ["shard", "pivot", "centre", "radius", "trees"])
+
+    grown = dealt.select("shard", "pivot", "ids", "v").groupBy("shard").applyInArrow(grow, "shard long, pivot long, centre array<double>, radius double, trees binary")
+    return stored(grown, "cover-trees")
+
+
+def searched(routed: DataFrame, index: DataFrame, shards: int, wide: int, need: int, block: int) -> DataFrame:
+    """(id, h, score, vec_id): the best ``need`` of each of ``routed(shard, id, h, v, floor)`` within its shard, if they reach the floor."""
+    names = ["shard", "kind", "id", "h", "v", "floor", "trees"]
+    none = lambda kind: F.lit(None).cast(kind)
+    left = index.select("shard", F.lit(0).alias("kind"), none("long").alias("id"), none("long").alias("h"), none("array<long>").alias("v"), none("double").alias("floor"), "trees")
+    right = routed.select("shard", F.lit(1).alias("kind"), "id", "h", "v", "floor", none("binary").alias("trees"))
+    rows = left.unionByName(right).repartition(max(1, shards), "shard").sortWithinPartitions("shard", "kind").select(*names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+
+        def found(part: pa.RecordBatch) -> pa.RecordBatch:
+            y, yf, ids, trees = held
+            s = Search(matrix(part.column("v"), wide), need, part.column("floor").to_numpy(zero_copy_only=False))
+            s.add(y, ids, trees, yf)
+            point = list(zip(part.column("id").to_pylist(), part.column("h").to_pylist()))
+            rows = [(*point[i], -score, vec_id) for i, best in enumerate(s.best) for score, vec_id in best]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4, ["id", "h", "score", "vec_id"])
+
+        for batch in batches:
+            kinds, shard = (batch.column(c).to_numpy() for c in ("kind", "shard"))
+            cuts = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (kinds[1:] != kinds[:-1])))) if len(shard) else []
+            for a, b in zip(cuts, [*cuts[1:], len(shard)]):
+                if kinds[a] == 0:
+                    x, ids, trees = pickle.loads(batch.column("trees")[a].as_buffer())
+                    x = x.astype(np.int64)
+                    held = x, x.astype(np.float64), ids, [landed(t) for t in trees]
+                    continue
+                for i in range(a, b, block):
+                    yield found(batch.slice(i, min(block, b - i)))
+
+    return rows.mapInArrow(lean(search), "id long, h long, score long, vec_id long")
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 5, query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors(vec_id, v)`` that meets ``is_query`` its k best others.
 
-    Ties go to the smaller vec_id. A repeated row counts once; a row is never its own result. Vectors shorter than
-    another count as padded with zeros. No query or no other row: no result rows.
+    Ties go to the smaller vec_id. Equal rows count once; rows of one vec_id with different vectors are rows of their own (as
+    queries they are ranked together under their id); a row is never a result of its own vec_id. Vectors shorter than
+    another count as padded with zeros. A score that passes 64 bits is an error. No query or no other row: no result rows.
     """
-    need = k + 1
-    base = stored(vectors.select("vec_id", "v"), "vectors").distinct()
-    # At most k+1 ids of a vector can matter; Spark limits each group before the shuffle, so a common vector stays small.
+    base = stored(vectors.select("vec_id", "v").distinct(), "vectors")
+    # Rows of the query's own id take places that are not counted.
+    need = k + (base.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
+    # At most so many ids of a vector can matter; Spark limits each group before the shuffle, so a common vector stays small.
     by_vec = Window.partitionBy("v").orderBy("vec_id")
     points = base.withColumn("rn", F.row_number().over(by_vec)).filter(F.col("rn") <= need).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    points = stored(points.withColumn("point", F.struct(F.col("ids")[0].alias("id"), F.xxhash64("v").alias("h"))), "points")
+    points = stored(points.withColumn("id", F.col("ids")[0]).withColumn("h", F.xxhash64("v")), "points")
     wanted = base.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    queries = stored(wanted.join(points.select("v", "point"), F.col("qv") == F.col("v")).select("query_id", "point", "v"), "queries")
-    distinct_queries = queries.groupBy("point").agg(F.first("v").alias("v"))
-    n_queries = queries.agg(F.count_distinct("point")).first()[0]
-    blocks = max(1, -(-n_queries // query_block))
-    left = distinct_queries.select(F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("kind"), "point", F.array().cast("array<long>").alias("ids"), "v")
-    right = points.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "point", "ids", "v")
-    pairs = left.unionByName(right).repartition(blocks * shards, "block", "shard").sortWithinPartitions("block", "shard", "kind")
-    pairs = pairs.select("block", "shard", "kind", F.col("point.id").alias("id"), F.col("point.h").alias("h"), "ids", "v")
+    queries = stored(wanted.join(points.select("v", "id", "h"), F.col("qv") == F.col("v")).select("query_id", "id", "h", "v"), "queries")
+    asked = queries.groupBy("id", "h").agg(F.first("v").alias("v"))
+    wide = points.agg(F.max(F.size("v"))).first()[0] or 0
+    index = indexed(points, wide, shard)
+    roots = index.select("shard", "pivot").orderBy("shard").toArrow()
+    ids, shards = roots.column("shard").to_numpy(), roots.num_rows
+    centre = radius = norm = np.zeros((0, wide))
+    home_of: dict[int, list[int]] = {}
+    if 0 < shards <= ROOTS:
+        table = index.select("shard", "centre", "radius").orderBy("shard").toArrow()
+        centre = np.array(table.column("centre").to_pylist(), np.float64).reshape(shards, wide)
+        radius, norm = table.column("radius").to_numpy(), np.sqrt((centre**2).sum(1))
+        for i, p in enumerate(roots.column("pivot").to_pylist()):
+            home_of.setdefault(p, []).append(i)
+    parts = list(home_of.values())
+    firsts = np.array([own[0] for own in parts], np.int64)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shard whose centre scores best; of one pivot's shards any."""
+        for batch in batches:
+            q = matrix(batch.column("v"), wide).astype(np.float64)
+            pick = np.concatenate([np.zeros(0, np.int64), *((q[a : a + 1024] @ centre[firsts].T).argmax(1) for a in range(0, len(q), 1024))])
+            home = [int(ids[parts[p][h % len(parts[p])]]) for p, h in zip(pick.tolist(), batch.column("h").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), *(batch.column(c) for c in ("id", "h", "v"))], ["shard", "id", "h", "v"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"pair": None, "q": [], "search": None}
-
-        def matrix(values: list[list[int]]) -> np.ndarray:
-            wide = max(map(len, values), default=0)
-            if state["search"] is not None:
-                wide = max(wide, state["search"].x.shape[1])
-            out = np.zeros((len(values), wide), np.int64)
-            for i, v in enumerate(values):
-                out[i, : len(v)] = v
-            return out
-
-        def feed(vs: list[list[int]], ids: list[list[int]]) -> None:
-            s = state["search"]
-            y = matrix(vs)
-            if y.shape[1] > s.x.shape[1]:  # wider data: the queries are padded, their trees stay right
-                pad = Search(np.pad(s.x, ((0, 0), (0, y.shape[1] - s.x.shape[1]))), need)
-                pad.best, pad.kth = s.best, s.kth
-                state["search"] = s = pad
-            s.add(y, ids)
-
-        def flush() -> list[pa.RecordBatch]:
-            s = state["search"]
-            if s is None:
-                return []
-            rows = [(*state["q"][i], -score, vec_id) for i, best in enumerate(s.best) for score, vec_id in best]
-            state["search"] = None
-            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["id", "h", "score", "vec_id"])] if rows else []
-
-        held_q: list = []
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All other shards whose root bound reaches the query's floor; all of them if there are too many roots."""
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("block", "shard", "kind", "id", "h", "ids", "v")]
-            vs, ids = [], []
-            for block, shard, kind, pid, h, own, v in zip(*cols):
-                if (block, shard) != state["pair"]:
-                    if vs:
-                        feed(vs, ids)
-                        vs, ids = [], []
-                    yield from flush()
-                    state["pair"], state["q"], held_q = (block, shard), [], []
-                if kind == 0:
-                    state["q"].append((pid, h))
-                    held_q.append(v)
-                    continue
-                if held_q:
-                    state["search"] = Search(matrix(held_q), need)
-                    held_q = []
-                if state["search"] is not None:
-                    vs.append(v)
-                    ids.append(own)
-                    if len(vs) == DATA_BLOCK:
-                        feed(vs, ids)
-                        vs, ids = [], []
-            if vs:
-                feed(vs, ids)
-        yield from flush()
-
-    found = pairs.mapInArrow(search, "id long, h long, score long, vec_id long")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                may = np.ones((part.num_rows, shards), bool)
+                if len(centre):
+                    q = matrix(part.column("v"), wide).astype(np.float64)
+                    size = np.sqrt((q**2).sum(1))[:, None]
+                    may = q @ centre.T + size * radius + slack(size, norm + radius) >= part.column("floor").to_numpy(zero_copy_only=False)[:, None]
+                    may[np.arange(len(q)), np.searchsorted(ids, part.column("home").to_numpy())] = False
+                i, s = np.nonzero(may)
+                for a in range(0, len(i), 4096):
+                    own = part.take(pa.array(i[a : a + 4096]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[s[a : a + 4096]]), *(own.column(c) for c in ("id", "h", "v", "floor"))], ["shard", "id", "h", "v", "floor"])
+
+    routed = "shard long, id long, h long, v array<long>, floor double"
+    lowest, found = F.lit(float("-inf")), []
+    if len(centre):
+        asked = stored(asked.mapInArrow(lean(homes), "shard long, id long, h long, v array<long>"), "asked").withColumnRenamed("shard", "home")
+        near = searched(asked.withColumn("floor", lowest).withColumnRenamed("home", "shard"), index, shards, wide, need, query_block)
+        found.append(stored(near, "found-near"))
+        reached = found[0].groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        asked = asked.join(reached, (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")), "left")
+        # A long as a float may lie above itself by rounding; the floor keeps clear of that.
+        clear = F.col("least").cast("double") - 1e-9 * F.abs(F.col("least").cast("double"))
+        asked = asked.select("home", "id", "h", "v", F.when(F.col("n") >= need, clear).otherwise(lowest).alias("floor"))
+    else:
+        asked = asked.select(F.lit(0).cast("long").alias("home"), "id", "h", "v", lowest.alias("floor"))
+    found.append(searched(asked.mapInArrow(lean(others), routed), index, shards, wide, need, query_block))
+    found = stored(found[0].unionByName(found[1]) if len(found) == 2 else found[0], "found")
     order = [F.col("score").desc(), F.col("vec_id")]
-    found = found.withColumn("rn", F.row_number().over(Window.partitionBy("id", "h").orderBy(*order))).filter(F.col("rn") <= need).drop("rn")
-    found = stored(found, "found")
-    both = queries.select("query_id", F.col("point.id").alias("qi"), F.col("point.h").alias("qh")).join(found, (F.col("qi") == F.col("id")) & (F.col("qh") == F.col("h")))
-    ranked = both.filter("query_id <> vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    best = found.withColumn("rn", F.row_number().over(Window.partitionBy("id", "h").orderBy(*order))).filter(F.col("rn") <= need)
+    best = best.select(F.col("id").alias("i"), F.col("h").alias("g"), "score", "vec_id")
+    both = queries.select("query_id", "id", "h").join(best, (F.col("id") == F.col("i")) & (F.col("h") == F.col("g"))).filter("query_id <> vec_id")
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
