@@ -91,7 +91,7 @@ def test_search_equals_brute_force(spark, seed):
     base = [[rng.choice([-0.5, 0.1, 0.3, 0.77]) for _ in range(4)] for _ in range(30)]
     rows = [(i, rng.choice(base) if rng.random() < 0.7 else base[0], 1) for i in range(200)] + [(500, None, 1), (501, [0.1, None], 1), (502, [math.nan], 1), (503, [math.inf], 1), (None, [1.0], 1), (600, [0.5, 0.5], 1), (601, [], 1), (3, None, 1)]
     df = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<float>, v int")
-    got = covertree.top_k(covertree.integer_vectors(df, "vec_id", "embedding"), F.col("vec_id") % 10 == 0, 5, query_block=7, shards=3).collect()
+    got = covertree.top_k(covertree.integer_vectors(df, "vec_id", "embedding"), F.col("vec_id") % 10 == 0, 5, query_block=7, shard=9).collect()
     pad = lambda v: [math.floor(256 * float(np.float32(x))) for x in v] + [0] * (4 - len(v))
     good = {i: pad(v) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     want = set()
@@ -108,24 +108,82 @@ def test_search_of_few_or_no_vectors(spark):
     assert covertree.top_k(covertree.integer_vectors(df.limit(0), "vec_id", "embedding"), F.col("vec_id") == 0).count() == 0
 
 
-def test_tree_covers_its_points_and_prunes():
+def brute_search(rows, k=5, every=10):
+    good = {i: [math.floor(256 * float(x)) for x in v] for i, v in rows}
+    out = set()
+    for q in (i for i in good if i % every == 0):
+        best = sorted((-sum(a * b for a, b in zip(good[q], good[c])), c) for c in good if c != q)[:k]
+        out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e5, 2.0**22, 2.0**26, 2.0**40])
+def test_search_is_exact_for_large_components(spark, scale):
+    rng = random.Random(7)
+    # Beyond 2^23 the scores fit 64 bits, but a bound from the largest components does not.
+    rows = [(0, [1.0, 2.0**20]), (1, [scale, 0.0]), (2, [scale * 1.25, 0.0]), (3, [-scale, 1.0])] if scale > 2**23 else [(i, [rng.choice([-1, 1]) * scale * rng.random() for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = covertree.top_k(covertree.integer_vectors(df, "vec_id", "embedding"), F.col("vec_id") % 10 == 0, 5, shard=16).collect()
+    assert {tuple(r) for r in got} == brute_search(rows)
+
+
+def test_search_states_what_it_cannot_hold(spark):
+    for v, said in ((1e300, "passes 62 bits"), (2.0**50, "int64|overflow|too large|fit|OverflowError|ArrowInvalid")):
+        df = spark.createDataFrame([(0, [v]), (1, [v])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match=said):
+            covertree.top_k(covertree.integer_vectors(df, "vec_id", "embedding"), F.col("vec_id") == 0).collect()
+
+
+def test_search_with_ids_that_have_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = covertree.top_k(covertree.integer_vectors(df, "vec_id", "embedding"), F.col("vec_id") == 0, 4).orderBy("rank").collect()
+    k = 256 * 256
+    assert [tuple(r)[1:] for r in got] == [(1, 1, 3 * k), (2, 1, 2 * k), (3, 2, k), (4, 2, k)]
+
+
+def clustered(rng, n, spread=0.01):
+    return np.concatenate([rng.normal(c, spread, (n, 3)) for c in ((100, 0, 0), (0, 100, 0), (0, 0, 100))])
+
+
+def test_tree_keeps_the_levels_of_a_cover_tree():
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(c, 0.01, (300, 3)) for c in ((100, 0, 0), (0, 100, 0), (0, 0, 100))])
-
-    def walk(n):
-        assert (np.sqrt(((x[n.rows] - n.centre) ** 2).sum(1)) <= n.radius + 1e-6).all()
-        if n.children:
-            assert sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
-            for c in n.children:
-                walk(c)
-
-    walk(covertree.build(x, np.arange(len(x))))
-    y = np.round(x * 10).astype(np.int64)
-    s, seen = covertree.Search(y[:300], 3), [0]
+    for x in (clustered(rng, 300), rng.normal(0, 1, (500, 8)), np.repeat(rng.normal(0, 1, (1, 4)), 200, 0)):
+        x = np.unique(x, axis=0)
+
+        def walk(n):
+            d = np.sqrt(((x[n.rows] - n.centre) ** 2).sum(1))
+            assert (d <= n.radius + 1e-6).all()
+            if n.children:
+                assert n.radius <= 2.0**n.level * (1 + 1e-9)
+                assert sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
+                nets = [c for c in n.children if c.level is not None or c.children or len(c.rows) > 1 and not (c.centre == n.centre).all()]
+                for a in nets:
+                    assert a.radius <= 2.0 ** (n.level - 1) + 1e-6
+                    for b in nets:
+                        assert a is b or np.linalg.norm(a.centre - b.centre) > 2.0 ** (n.level - 1) * (1 - 1e-6)
+                for c in n.children:
+                    walk(c)
+
+        roots = covertree.forest(x, 200)
+        assert sorted(np.concatenate([t.rows for t in roots])) == list(range(len(x)))
+        for t in roots:
+            walk(t)
+            again = covertree.landed(covertree.shipped(t))
+            assert (again.rows == t.rows).all() and len(again.children) == len(t.children)
+
+
+def test_search_of_clusters_prunes_node_pairs(spark):
+    y = np.unique(np.round(clustered(np.random.default_rng(0), 300, 1.0) * 10).astype(np.int64), axis=0)
+    s, seen = covertree.Search(y[::3], 3), [0]
     compare = covertree.Search.compare
     s.compare = lambda q, r: (seen.__setitem__(0, seen[0] + len(q.rows) * len(r.rows)), compare(s, q, r))
     s.add(y, [[i] for i in range(len(y))])
-    assert seen[0] <= 300 * 450  # the clusters across are never compared
+    assert seen[0] <= 0.5 * len(y[::3]) * len(y)  # the clusters across are never compared
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(np.random.default_rng(1), 60, 1.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = covertree.top_k(covertree.integer_vectors(df, "vec_id", "embedding"), F.col("vec_id") % 10 == 0, 5, shard=20).collect()
+    assert {tuple(r) for r in got} == brute_search(rows)
 
 
 # SimHash
@@ -359,7 +417,6 @@ def reference_tokens(texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenfile.tokenizer_path())
-    tok.encode_special_tokens = True
     return [e.ids + [2] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 

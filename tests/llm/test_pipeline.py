@@ -12,7 +12,7 @@ import corpus_pipeline  # noqa: E402
 from vecloom.llm import registry  # noqa: E402
 
 from .test_llm import brute_leaks, reference_tokens, targets  # noqa: E402
-from .test_similar import brute_groups  # noqa: E402
+from .test_similar import exact_groups  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -32,7 +32,7 @@ def test_stages_equal_brute_force(spark):
     assert df.count() == len(before)  # all have a clear language
     df2 = step("near_copies", df)
     rows = df.collect()
-    part = brute_groups([(r["doc_id"], r["text"]) for r in rows])
+    part = exact_groups([(r["doc_id"], r["text"]) for r in rows])
     assert sorted(r["doc_id"] for r in df2.collect()) == sorted(set(part.values()))
     df3 = step("decontaminate", df2)
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
@@ -61,8 +61,8 @@ def test_stages_take_edge_cases_and_nothing(spark, edge_docs):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, df, DATA)
             assert out.count() >= 0 and (name == "tokens" or out.columns == edge_docs.columns)
-    once = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, edge_docs, DATA).collect() if r["doc_id"] is not None]
-    assert len(once) == len(set(once))
+    once = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, edge_docs, DATA).collect()]
+    assert len(once) == len(set(once)) and sum(i == 1 for i, _ in once) == 2  # two texts under one id are two documents
 
 
 def test_registered_queries_match_their_sql(spark):
