@@ -6,12 +6,14 @@ occurs more than once. Only suffixes that may have such a node are put into tree
 1. Filter. Each suffix sends 32 bits of the hash of its window to a group of hashes. One that is alone there is a leaf that
    branches off above the cut; it needs no tree. Chance equals survive, and the trees tell them apart.
 2. Passages. The survivors of a document that follow each other make up one passage, and passages of equal text are one,
-   compared as text: all but the first of them (by doc_id, then start) go as a whole.
-3. Trees. The suffixes of distinct passages are split by prefixes of variable length: the shortest of ``DEPTHS`` words whose
-   count fits a group of ``GROUP`` suffixes; what is too large even at full depth is dealt by its window. A group is one
-   task's tree: suffixes sorted word by word, with the longest common prefix of neighbours. Its nodes at the cut are runs of
-   neighbours that share all ``WINDOW`` words; all occurrences but the first are covered by the removal. Neighbouring
-   windows of a document make up the maximal repeats.
+   compared as text: all but the first of them (by doc_id, then start) go as a whole. The filter then runs over the distinct
+   passages; suffixes that are alone among them are first occurrences.
+3. Trees. What is left is split by prefixes of variable length: the shortest of ``DEPTHS`` words whose count fits a tree of
+   ``TREE`` suffixes; what is too large even at full depth is dealt by its window. A tree is one task's: suffixes sorted word
+   by word, with the longest common prefix of neighbours. Its nodes at the cut are runs of neighbours that share all
+   ``WINDOW`` words; all occurrences but the first are covered by the removal. Neighbouring windows of a document make up the
+   maximal repeats. Passages travel to mappers in order of their least window hash, so near copies meet in a chunk, which
+   sends each window once.
 
 Words are compared as themselves, so no hash decides what is removed. A mapper sends each window of a chunk of documents once,
 so copies and passages found in many documents cost a group at most one leaf for each chunk. Documents are never grouped
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +44,10 @@ WORD_BYTES = 6
 TREE = 1 << 18
 #: Cells in which prefixes are counted: four for each tree, between these bounds.
 CELLS, MOST_CELLS = 1 << 12, 1 << 18
-#: Bytes of text in a chunk of a mapper, and of passages in a group.
+#: Bytes of text in a chunk of a mapper, of passages in a group, and of passages in a task that feeds trees.
 CHUNK_BYTES = 6 << 20
 PASSAGE_BYTES = 64 << 20
+FEED_BYTES = 8 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Ids of affected documents (16 bytes each) that are broadcast to select their texts; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
@@ -168,18 +172,18 @@ def dealt(blobs: list, buckets: int) -> tuple[list[int], list[bytes]]:
 
 
 class Chunk:
-    """Documents of a mapper in order of (doc_id, mark), with the window hashes of their suffixes."""
+    """Texts of a mapper in order of (doc_id, mark, place of the first word), with the window hashes of their suffixes."""
 
-    def __init__(self, docs: list[tuple[int, int, np.ndarray]], window: int):
-        docs.sort(key=lambda d: d[:2])
-        docs = [d for i, d in enumerate(docs) if (i == 0 or d[:2] != docs[i - 1][:2]) and len(d[2]) >= window]
+    def __init__(self, docs: list[tuple[int, int, int, np.ndarray]], window: int):
+        docs.sort(key=lambda d: d[:3])
+        docs = [d for i, d in enumerate(docs) if (i == 0 or d[:3] != docs[i - 1][:3]) and len(d[3]) >= window]
         self.ids = np.array([d[0] for d in docs], np.int64)
         self.marks = np.array([d[1] for d in docs], np.int64)
-        paths = [path_hashes(d[2], window) for d in docs]
+        paths = [path_hashes(d[3], window) for d in docs]
         self.paths = np.concatenate([np.zeros(0, np.uint64), *paths])
         sizes = [len(p) for p in paths]
         self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
-        self.start = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)])
+        self.start = np.concatenate([np.zeros(0, np.int64), *(np.arange(d[2], d[2] + n) for d, n in zip(docs, sizes))])
 
     def leaves(self, groups: int) -> Iterator[tuple[int, int, bytes]]:
         """(group, kind, blob): kind 0, the first occurrence of each window for its group; kind 1, windows that are here more than once."""
@@ -199,11 +203,29 @@ class Chunk:
             own = once[by[a:b]]
             doc, start = self.doc[own], self.start[own]
             at = heads(doc)
-            step = np.diff(start, prepend=0)
-            step[at] = start[at]
-            n = np.diff(np.append(at, len(own))).astype(np.uint32)
-            blob = [len(own).to_bytes(8, "little"), len(at).to_bytes(8, "little"), self.paths[own].astype(np.uint32).tobytes(), planes(step.astype(np.uint32)), planes(np.diff(self.ids[doc[at]], prepend=0)), self.marks[doc[at]].tobytes(), planes(n)]
-            yield int(g[by[a]]), 0, b"".join(blob)
+            yield int(g[by[a]]), 0, self.paths[own].astype(np.uint32).tobytes().join(placed(doc, self.ids[doc[at]], self.marks[doc[at]], start))
+
+
+def placed(doc: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers of suffixes and documents, and then where the suffixes are: steps of starts, and ids and marks of documents.
+    Suffixes are in order of ``doc``; ids and marks are those of its runs."""
+    at = heads(doc)
+    step = np.diff(start, prepend=0)
+    step[at] = start[at]
+    n = np.diff(np.append(at, len(start))).astype(np.uint32)
+    return np.array([len(start), len(at)], np.int64).tobytes(), b"".join([planes(step.astype(np.uint32)), planes(np.diff(ids, prepend=0)), marks.tobytes(), planes(n)])
+
+
+def places(data: memoryview, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, mark, start) of each suffix, from what :func:`placed` made of them."""
+    step = unplanes(data, "u4", n).astype(np.int64)
+    at = 4 * n
+    doc_ids = np.cumsum(unplanes(data[at:], "i8", m))
+    own = np.frombuffer(data, np.int64, m, at + 8 * m)
+    count = unplanes(data[at + 16 * m :], "u4", m).astype(np.int64)
+    first = np.cumsum(count) - count
+    total = np.cumsum(step)
+    return np.repeat(doc_ids, count), np.repeat(own, count), total - np.repeat(total[first] - step[first], count)
 
 
 def survivors(kinds: list[int], blobs: list, buckets: int) -> tuple[list[int], list[bytes]]:
@@ -214,28 +236,16 @@ def survivors(kinds: list[int], blobs: list, buckets: int) -> tuple[list[int], l
         if kind:
             local.append(data)
             continue
-        n, m = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
-        at = 16
-        bits.append(np.frombuffer(data, np.uint32, n, at))
-        at += 4 * n
-        step = unplanes(data[at:], "u4", n).astype(np.int64)
-        at += 4 * n
-        doc_ids = np.cumsum(unplanes(data[at:], "i8", m))
-        at += 8 * m
-        own = np.frombuffer(data, np.int64, m, at)
-        at += 8 * m
-        count = unplanes(data[at:], "u4", m).astype(np.int64)
-        first = np.cumsum(count) - count
-        total = np.cumsum(step)
-        starts.append((total - np.repeat(total[first] - step[first], count)).astype(np.int32))
-        ids.append(np.repeat(doc_ids, count))
-        marks.append(np.repeat(own, count))
+        n, m = np.frombuffer(data, np.int64, 2).tolist()
+        bits.append(np.frombuffer(data, np.uint32, n, 16))
+        for x, into in zip(places(data[16 + 4 * n :], n, m), (ids, marks, starts)):
+            into.append(x)
     if bits:
         bit = np.concatenate(bits)
         order = np.argsort(bit)
         same = bit[order[1:]] == bit[order[:-1]]
         inner = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
-        local.append(by_document(np.concatenate(ids)[inner], np.concatenate(marks)[inner], np.concatenate(starts)[inner].astype(np.int64)))
+        local.append(by_document(np.concatenate(ids)[inner], np.concatenate(marks)[inner], np.concatenate(starts)[inner]))
     return dealt(local, buckets)
 
 
@@ -266,60 +276,81 @@ class Routes:
 
 
 class Passages:
-    """Passages of a mapper as words of a dictionary, with the suffixes that have a whole window."""
-
-    def __init__(self, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, bodies: list[bytes], window: int):
-        words = [b.split() for b in bodies]
-        sizes = np.array([len(w) for w in words], np.int64)
-        coded = pa.array([x for w in words for x in w], pa.binary()).dictionary_encode()
+    """Passages of a mapper as words of a dictionary, and those of their suffixes that ``runs`` name, in order of document and start."""
+
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, bodies: pa.Array, runs: list[np.ndarray], window: int):
+        order = np.lexsort((starts, marks, ids))
+        ids, marks, starts, bodies = ids[order], marks[order], starts[order], bodies.take(pa.array(order))
+        split = pc.split_pattern(bodies, b" ")
+        begin = split.offsets.to_numpy().astype(np.int64)
+        last = begin[1:] - begin[:-1] - window
+        coded = split.flatten().dictionary_encode()
         self.words, self.text = coded.dictionary, coded.indices.to_numpy().astype(np.uint32)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in self.words), np.uint64, len(self.words))[self.text]
-        count = sizes - window + 1
-        begin = np.cumsum(sizes) - sizes
-        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        self.at = np.repeat(begin, count) + offset
-        self.ids, self.marks, self.starts = np.repeat(ids, count), np.repeat(marks, count), np.repeat(starts, count) + offset
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words.to_pylist()), np.uint64, len(self.words))[self.text]
+        doc, offset = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, k in enumerate(order.tolist()):
+            pairs = merged(runs[k]) - starts[i]
+            pairs = pairs[(pairs[:, 1] >= 0) & (pairs[:, 0] <= last[i])]
+            at = [np.arange(max(a, 0), min(b, last[i]) + 1) for a, b in pairs.tolist()]
+            offset += at
+            doc.append(np.full(sum(map(len, at)), i))
+        doc, offset = np.concatenate(doc), np.concatenate(offset)
+        self.at = begin[doc] + offset
+        self.ids, self.marks, self.starts = ids[doc], marks[doc], starts[doc] + offset
+        # Suffixes of overlapping passages of a document, here twice, are one.
+        new = heads(self.ids, self.marks, self.starts)
+        self.at, self.ids, self.marks, self.starts = self.at[new], self.ids[new], self.marks[new], self.starts[new]
         whole = path_hashes(hashes, window)
-        self.paths = whole[self.at]
-        self.prefixes = [path_hashes(hashes, min(d, window))[self.at] for d in DEPTHS]
+        self.paths = whole[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.prefixes = [path_hashes(hashes, min(d, window))[self.at] if len(self.at) else self.paths for d in DEPTHS]
         self.window = window
 
     def matrix(self, own: np.ndarray) -> np.ndarray:
         return sliding_window_view(self.text, self.window)[self.at[own]]
 
-    def counts(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
-        own = np.concatenate([np.bincount((((p >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64), minlength=cells) for p in [*self.prefixes, self.paths]])
-        at = np.flatnonzero(own)
-        return at, own[at]
-
-    def leaves(self, routes: Routes) -> Iterator[tuple[int, int, bytes]]:
-        """(tree, kind, blob): as in the filter; windows that are here more than once go as their first occurrence, the others are known."""
-        order = np.lexsort((self.starts, self.marks, self.ids, self.paths))
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each window's suffixes, and the others."""
+        order = np.argsort(self.paths, kind="stable")
         # Equal hashes are followed by a comparison of the words: a run ends where the words differ.
         new = np.ones(len(order), bool)
         may = np.flatnonzero(self.paths[order][1:] == self.paths[order][:-1]) + 1
         for a in range(0, len(may), 1 << 16):
             k = may[a : a + (1 << 16)]
             new[k] = (self.matrix(order[k]) != self.matrix(order[k - 1])).any(1)
-        tree = routes.tree(self.prefixes, self.paths)
-        later = order[~new]
+        return np.sort(order[new]), np.sort(order[~new])
+
+    def counts(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        once, _ = self.first()
+        own = np.concatenate([np.bincount((((p[once] >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64), minlength=cells) for p in [*self.prefixes, self.paths]])
+        at = np.flatnonzero(own)
+        return at, own[at]
+
+    def leaves(self, routes: Routes) -> Iterator[tuple[int, int, bytes]]:
+        """(tree, kind, blob): kind 0, the first suffix of each window with its words; kind 1, the others, which are known to repeat."""
+        if not len(self.at):
+            return
+        once, later = self.first()
+        tree = routes.tree([p[once] for p in self.prefixes], self.paths[once])
         if len(later):
-            yield int(tree[later[0]]), 1, by_document(self.ids[later], self.marks[later], self.starts[later])
-        once = order[new]
-        by = once[np.argsort(tree[once], kind="stable")]
+            yield int(tree[0]), 1, by_document(self.ids[later], self.marks[later], self.starts[later])
+        by = np.argsort(tree, kind="stable")
         cuts = heads(tree[by])
+        used, number = np.zeros(len(self.words), bool), np.zeros(len(self.words), np.uint32)
         for a, b in zip(cuts, np.append(cuts[1:], len(by))):
-            own = np.sort(by[a:b])
+            own = once[by[a:b]]
             m = self.matrix(own)
-            used = np.zeros(len(self.words), bool)
+            used[:] = False
             used[m] = True
             held = np.flatnonzero(used)
-            kind = np.uint16 if len(held) <= 1 << 16 else np.uint32
-            number = np.zeros(len(used), kind)
             number[held] = np.arange(len(held))
+            kind = np.uint16 if len(held) <= 1 << 16 else np.uint32
             text = b" ".join(self.words.take(pa.array(held)).to_pylist())
-            blob = [np.array([len(own), len(held), len(text), np.dtype(kind).itemsize], np.int64).tobytes(), text, number[m].tobytes(), self.ids[own].tobytes(), self.marks[own].tobytes(), self.starts[own].tobytes()]
-            yield int(tree[by[a]]), 0, b"".join(blob)
+            ids, marks = self.ids[own], self.marks[own]
+            at = heads(ids, marks)
+            doc = np.zeros(len(own), np.int32)
+            doc[at] = 1
+            size, place = placed(np.cumsum(doc), ids[at], marks[at], self.starts[own])
+            yield int(tree[by[a]]), 0, b"".join([np.array([len(text), np.dtype(kind).itemsize], np.int64).tobytes(), size, text, number[m].astype(kind).tobytes(), place])
 
 
 def tree_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,13 +371,12 @@ def later_in_tree(kinds: list[int], blobs: list, window: int, buckets: int) -> t
         if kind:
             found.append(data)
             continue
-        n, m, size, width = np.frombuffer(data, np.int64, 4).tolist()
+        size, width, n, docs = np.frombuffer(data, np.int64, 4).tolist()
         at = 32 + size
         words.append(bytes(data[32:at]).split(b" "))
         ms.append(np.frombuffer(data, f"u{width}", n * window, at).reshape(n, window))
-        at += n * window * width
-        for i, into in enumerate((ids, marks, starts)):
-            into.append(np.frombuffer(data, np.int64, n, at + 8 * n * i))
+        for x, into in zip(places(data[at + n * window * width :], n, docs), (ids, marks, starts)):
+            into.append(x)
     if ms:
         # One dictionary for all: equal words get equal numbers, from 1 on so that no number is a zero.
         known = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.uint32) + np.uint32(1)
@@ -368,25 +398,33 @@ BLOBS = "bucket long, runs binary"
 
 def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_bytes: int) -> DataFrame:
     """(d, m, runs) with first and last starts of windows that also start earlier, from ``rows(doc_id, mark, text)``."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // (WORD_BYTES * group)))
+    total = lambda df, c: df.agg(F.sum(F.octet_length(c))).first()[0] or 0
+    size = total(rows, "text")
+    buckets = max(1, -(-size // (WORD_BYTES * group)))
     batch_of = lambda rows, kinds, names: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-    sent = ([pa.int64(), pa.int32(), pa.binary()], ["g", "kind", "leaves"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held = [], 0
-        for batch in batches:
-            ids, marks = batch.column("doc_id").fill_null(NULL_ID).to_pylist(), batch.column("mark").to_pylist()
-            for a, b in slices(batch, "text"):
-                for i, text in enumerate(texts(batch, "text", a, b), a):
-                    docs.append((ids[i], marks[i], hashed_words(text)))
-                    held += len(text)
-                    if held >= chunk_bytes:
-                        if out := list(Chunk(docs, window).leaves(groups)):
-                            yield batch_of(out, *sent)
-                        docs, held = [], 0
-        if docs and (out := list(Chunk(docs, window).leaves(groups))):
-            yield batch_of(out, *sent)
+    sent, moved = ([pa.int64(), pa.int32(), pa.binary()], ["g", "kind", "leaves"]), "g long, kind int, leaves binary"
+
+    def filtered(texts_of: DataFrame, size: int, name: str) -> DataFrame:
+        """(d, m, runs): suffixes of ``texts_of(doc_id, mark, start, text)`` that may not be alone."""
+        groups = max(1, -(-size // (WORD_BYTES * group)))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            docs, held = [], 0
+            for batch in batches:
+                own = [batch.column(c).to_pylist() for c in ("doc_id", "mark", "start")]
+                for a, b in slices(batch, "text"):
+                    for i, text in enumerate(texts(batch, "text", a, b), a):
+                        docs.append((*(c[i] for c in own), hashed_words(text)))
+                        held += len(text)
+                        if held >= chunk_bytes:
+                            if out := list(Chunk(docs, window).leaves(groups)):
+                                yield batch_of(out, *sent)
+                            docs, held = [], 0
+            if docs and (out := list(Chunk(docs, window).leaves(groups))):
+                yield batch_of(out, *sent)
+
+        leaves = texts_of.mapInArrow(lean(scan), moved).groupBy("g")
+        return per_document(leaves.applyInArrow(lambda t: blobs(survivors(*columns(t), buckets)), BLOBS), name)
 
     def columns(table: pa.Table) -> tuple[list[int], list]:
         return table.column("kind").to_pylist(), [x.as_buffer() for x in table.column("leaves")]
@@ -408,9 +446,8 @@ def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_byte
     def per_document(found: DataFrame, name: str) -> DataFrame:
         return stored(found.groupBy("bucket").applyInArrow(lambda t: gathered(t.select(["runs"])), "d long, m long, runs array<int>"), name)
 
-    leaves = rows.mapInArrow(lean(scan), "g long, kind int, leaves binary")
-    alive = leaves.groupBy("g").applyInArrow(lambda t: blobs(survivors(*columns(t), groups)), BLOBS)
-    alive = per_document(alive, "survivors")
+    whole = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "mark", F.lit(0).cast("long").alias("start"), "text")
+    alive = filtered(whole, size, "survivors")
 
     # Passages of survivors; those of equal text are one.
     passage_groups = max(1, -(-size // PASSAGE_BYTES))
@@ -474,45 +511,51 @@ def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_byte
             for doc_id, mark, start, length in head.tolist():
                 kept_first(found, (doc_id, mark, start), bytes(data[at : at + length]), gone)
                 at += length
-        b, runs = dealt([*known, local(*zip(*gone)) if gone else b""], groups)
+        b, runs = dealt([*known, local(*zip(*gone)) if gone else b""], buckets)
         places, none = list(found.values()), [None] * len(found)
-        cols = [[*b, *none], [*runs, *none], *([*[None] * len(b), *(p[k] for p in places)] for k in range(3)), [*[None] * len(b), *found]]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        low = [int(path_hashes(hashed_words(body), window).view(np.int64).min()) for body in found]
+        cols = [[*b, *none], [*runs, *none], *([*[None] * len(b), *(p[k] for p in places)] for k in range(3)), [*[None] * len(b), *found], [*[None] * len(b), *low]]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         trim()
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "runs", "id", "mark", "start", "body"])
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "runs", "doc_id", "mark", "start", "text", "low"])
 
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
-    held = joined_texts(rows, alive, same)
-    moved = held.mapInArrow(lean(passages), "g long, kind int, leaves binary").groupBy("g")
-    both = stored(moved.applyInArrow(lambda t: distinct(t.select(["kind", "leaves"])), BLOBS + ", id long, mark long, start long, body binary"), "passages")
-    gone, firsts = both.filter("bucket IS NOT NULL").select("bucket", "runs"), both.filter("body IS NOT NULL").select("id", "mark", "start", "body")
-
-    # Trees over the distinct passages.
-    words = firsts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    held = joined_texts(rows, alive, same).mapInArrow(lean(passages), moved).groupBy("g")
+    both = held.applyInArrow(lambda t: distinct(t.select(["kind", "leaves"])), BLOBS + ", doc_id long, mark long, start long, text binary, low long")
+    both = stored(both, "passages")
+    gone, firsts = both.filter("bucket IS NOT NULL").select("bucket", "runs"), both.filter("text IS NOT NULL").drop("bucket", "runs")
+    alive = filtered(firsts.drop("low"), total(firsts, "text"), "survivors-of-passages").select(F.coalesce("d", F.lit(NULL_ID)).alias("d"), "m", "runs")
+
+    # Trees over the distinct passages. Those with the same least window hash are neighbours; a very common hash is cut by text.
+    feed = firsts.join(alive, (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("m"))).drop("d", "m")
+    feed = stored(feed, "passages-left")
+    words = total(feed, "text")
+    feed = stored(feed.repartitionByRange(max(1, -(-words // FEED_BYTES)), "low", F.xxhash64("text")).sortWithinPartitions("low"), "passages-dealt")
     cells = min(MOST_CELLS, max(CELLS, 1 << (4 * words // (WORD_BYTES * tree) + 1).bit_length()))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
         for batch in batches:
-            for a, b in slices(batch, "body"):
+            for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
-                ids, marks, starts = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark", "start"))
-                yield Passages(ids, marks, starts, part.column("body").to_pylist(), window)
+                own = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark", "start"))
+                yield Passages(*own, part.column("text"), [x.values.to_numpy() for x in part.column("runs")], window)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in chunk.counts(cells)], ["cell", "n"])
 
-    table = firsts.mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = feed.mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(DEPTHS) + 1) * cells, np.int64)
     counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     routes = Routes(counts.reshape(len(DEPTHS) + 1, cells), tree)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            yield batch_of(list(chunk.leaves(routes)), *sent)
+            if out := list(chunk.leaves(routes)):
+                yield batch_of(out, *sent)
 
-    nodes = firsts.mapInArrow(lean(grow), "g long, kind int, leaves binary").groupBy("g")
-    nodes = nodes.applyInArrow(lambda t: blobs(later_in_tree(*columns(t.select(["kind", "leaves"])), window, groups)), BLOBS)
+    nodes = feed.mapInArrow(lean(grow), moved).groupBy("g")
+    nodes = nodes.applyInArrow(lambda t: blobs(later_in_tree(*columns(t.select(["kind", "leaves"])), window, buckets)), BLOBS)
     return per_document(gone.unionByName(nodes), "runs")
 
 
