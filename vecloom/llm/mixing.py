@@ -25,6 +25,8 @@ BLOCK = 64
 SEED = 17
 #: Sources up to this many are broadcast (some hundred bytes each); more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: Parts in which rows of one id, source and size are numbered.
+PARTS = 1024
 
 
 def random(*parts: Column) -> Column:
@@ -127,13 +129,25 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, blo
     return every.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", "copy")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``_at``: 1, 2, ... among the rows of equal (d, s, n). Rows without id may be many under one key, so they are counted by
+    parts of text hashes first and numbered inside a part; only equal texts are surely in one part."""
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc.text"), F.lit(PARTS)))
+    counts = rows.groupBy(F.col("d").alias("_d"), F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("_part").alias("_p")).agg(F.count("*").alias("c"))
+    before = Window.partitionBy("_d", "_s", "_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored(counts.withColumn("_before", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"), "numbers")
+    inside = rows.withColumn("_own", F.row_number().over(Window.partitionBy("d", "s", "n", "_part").orderBy(F.xxhash64("doc.text"))))
+    same = F.col("d").eqNullSafe(F.col("_d")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("n") == F.col("_n")) & (F.col("_part") == F.col("_p"))
+    return inside.join(counts, same).withColumn("_at", F.col("_before") + F.col("_own")).select("doc", "d", "s", "n", "_at")
+
+
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` says; columns stay."""
     plan = stored(mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copy").alias("_copy"), F.col("copies").alias("_copies")), "copies")
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), word_count(F.col("text")).alias("n"))
     same = F.col("d").eqNullSafe(F.col("_id")) & F.col("s").eqNullSafe(F.col("_source")) & (F.col("n") == F.col("_size"))
     if plan.agg(F.max("_copy")).first()[0] not in (None, 1):
-        rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("d", "s", "n").orderBy("doc.text")))
+        rows = numbered(rows)
         same = same & (F.col("_at") == F.col("_copy"))
     # A merge join at every size: the shuffle of the texts follows the input, and a broadcast could not at scale.
     kept = rows.join(plan.filter("_copies > 0").hint("merge"), same)
