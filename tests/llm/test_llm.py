@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -73,8 +74,8 @@ def test_warc_damage_is_reported():
 
 def test_warc_lost_segment_is_invalid(spark):
     path = common.shared_path(spark, "test-lost")
-    members = list(warc.page_records(1, "u", b"y" * 3000, hashlib.sha256(b"y" * 3000).hexdigest(), None, "t", 500, 100))
-    whole = list(warc.page_records(2, "u", b"z", hashlib.sha256(b"z").hexdigest(), None, "s", 500, 100))
+    members = list(warc.page_records(1, "u", b"y" * 3000, hashlib.sha256(b"y" * 3000).hexdigest(), None, None, "a", "t", 500, 100))
+    whole = list(warc.page_records(2, "u", b"z", hashlib.sha256(b"z").hexdigest(), None, None, "a", "s", 500, 100))
     rows = [(m,) for m in members[:2] + members[3:] + whole]
     df = spark.createDataFrame(rows, "m binary").select(F.col("m").cast("string").alias("value"))
     df.write.option("encoding", "ISO-8859-1").option("lineSep", warc.EMPTY_MEMBER.decode("latin-1")).text(path)
@@ -82,6 +83,45 @@ def test_warc_lost_segment_is_invalid(spark):
     assert not got[1]["valid"] and got[1]["payload_bytes"] is None and got[2]["valid"]
 
 
+def test_warc_revisits_name_their_record(spark):
+    path = common.shared_path(spark, "test-ids")
+    h = "page of some length " * 20
+    warc.write_archive(pages(spark, [(1, "http://e/1", h, "", "", 0), (2, "http://e/2", h, "", "", 0), (2, "http://e/2", h, "", "", 0), (3, "http://e/3", "x", "", "", 0)]), path)
+    lines = spark.read.options(lineSep=warc.EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1").text(path).select(F.col("value").cast("binary")).collect()
+    records = [f for r in lines for f, _ in warc.parse(warc.inflate(r[0]))]
+    ids = {f["x-page-id"]: f["warc-record-id"] for f in records if f["warc-type"] == "response"}
+    again = [f for f in records if f["warc-type"] == "revisit"]
+    assert len(again) == 2 and all(f["warc-refers-to"] == ids["1"] and f["warc-refers-to-target-uri"] == "http://e/1" for f in again)
+    assert ids["1"] != warc.record_id("another-archive", 1, hashlib.sha256(h.encode()).hexdigest(), "response")
+
+
+def test_warc_reads_other_archives_as_streams(spark, tmp_path):
+    def response(k, body, extra=""):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    bodies = [b"plain", b"WARC/1.1\r\n\r\nfake WARC/1. and WARC/1.0\r\nContent-Length: 3\r\n\r\n", b"", bytes(range(256)) * 400, b"x" * 300_000]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"
+    records = [info, *(response(k, b) for k, b in enumerate(bodies))]
+    pack = lambda data: (c := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(data) + c.flush()
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(map(pack, records)))
+    (tmp_path / "one.warc.gz").write_bytes(pack(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "cut.warc").write_bytes(b"".join(records)[:-1000] )
+    (tmp_path / "digest.warc").write_bytes(response(9, b"good", f"WARC-Payload-Digest: sha256:{hashlib.sha256(b'good').hexdigest()}\r\n") + response(10, b"bad", "WARC-Payload-Digest: sha256:00\r\n") + response(11, b"other", "WARC-Payload-Digest: sha1:ABC\r\n"))
+    want = sorted((len(b), hashlib.sha256(b).hexdigest(), True) for b in bodies)
+    for name, good, bad in (("many.warc.gz", want, 0), ("one.warc.gz", want, 0), ("plain.warc", want, 0), ("cut.warc", want[:-1], 1), ("digest.warc", sorted((len(b), hashlib.sha256(b).hexdigest(), True) for b in (b"good", b"other")), 1)):
+        got = warc.read_archive(spark, str(tmp_path / name), own=False).collect()
+        assert sorted((r["payload_bytes"], r["payload_digest"], r["valid"]) for r in got if r["valid"]) == good, name
+        assert sum(not r["valid"] and r["payload_digest"] is None for r in got) == bad and len(got) == len(good) + bad
+
+
+def test_warc_of_a_very_long_page(spark):
+    h = "é<p>" * 1_500_000
+    got = archived(spark, [(1, "u", h, "", "", 0), (2, "u", h, "", "", 0), (3, "u", None, "", "", 0)]).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["valid"]) for r in got) == [(1, 7_500_000, "response", True), (2, 7_500_000, "revisit", True), (3, 0, "response", True)]
+
+
 # Top-k search
 
 
@@ -242,6 +282,39 @@ def test_links_find_every_pair_within_the_radius(spark, split, tile):
     assert [parts.get(p, p) for p in signed] == brute_components(prints, signed)
 
 
+def test_tiles_skip_pairs_by_population_count():
+    rng = np.random.default_rng(3)
+    fp = np.unique(rng.integers(0, 2**64, 3000, np.uint64, endpoint=False) & np.uint64(0xFFF))
+    key = np.zeros(len(fp), np.int64)
+    for tile in (1, 7, 256):
+        a, b = simhash.tile_links(fp, key, 2, tile)
+        signed = fp.tolist()
+        up = {x: x for x in signed}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            assert (x ^ y).bit_count() <= 2
+            up[max(find(x), find(y))] = min(find(x), find(y))
+        assert [find(x) for x in signed] == brute_components(signed, signed)
+    ones = np.sort(np.bitwise_count(fp).astype(np.int64))
+    starts, sizes = simhash.tiles_of(key, ones, 64)
+    pairs = [(int(x), int(y)) for a, b in simhash.near_tiles(key, ones, starts, 2) for x, y in zip(a, b)]
+    assert sizes.sum() == len(fp) and all(abs(ones[starts[x]] - ones[starts[y]]) <= 2 for x, y in pairs)
+    assert len(pairs) < len(starts) * (len(starts) + 1) // 2
+
+
+def test_fingerprints_of_texts_in_pieces(monkeypatch):
+    t = ("A bc def " * 40 + "\n x").encode()
+    want = brute_fingerprint(t.decode())
+    for size in (1, 5, 50):
+        monkeypatch.setattr(simhash, "word_pieces", lambda text, size=size: common.word_pieces(text, size))
+        assert simhash.fingerprint(t) == want and simhash.fingerprint(b"one two") == brute_fingerprint("one two") and simhash.fingerprint(b"  ") == 0
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(5, 5), (3, 2), (2, 3)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -331,7 +404,7 @@ def test_language_edges(spark, edge_docs):
     got = langid.identify(edge_docs, model, "doc_id", "text", "fp").collect()
     assert len(got) == 12
     for r in got:
-        blank = r["text"] is None or not re.search(r"[^\W\d_]", r["text"])
+        blank = r["text"] is None or not any(unicodedata.category(c)[0] == "L" for c in r["text"])
         assert (r["lang_pred"] == "und") == blank and (not blank or r["score"] == 0.0)
     assert langid.accepted(edge_docs, model).columns == edge_docs.columns
     none = langid.fit(edge_docs.limit(0), F.lit(True))
@@ -343,6 +416,66 @@ def test_language_edges(spark, edge_docs):
 def test_codewords_tell_all_classes_apart(n):
     code = langid.codewords(n)
     assert len({tuple(r) for r in code}) == n and (abs(code.sum(0)) < n).all()
+    least = min(sum(x != y for x, y in zip(a, b)) for i, a in enumerate(code.tolist()) for b in code.tolist()[:i])
+    assert least == langid.distance(code) and 4 * least >= code.shape[1]
+
+
+def test_letters_are_the_unicode_categories_of_letters():
+    for c in "½²Ⅷ①٣_1 .€\u0301":
+        assert not langid.has_letter(c) and langid.Model(["a", "b"], None, None, None).predict(c) == ("und", 0.0, True)
+    for c in "aZéß中ªʰΩ":
+        assert langid.has_letter("1 " + c)
+
+
+def brute_grams(t):
+    plain = " " + " ".join("".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in t).split(" ")).strip() + " "
+    data = " ".join(["", *plain.split(), ""]).encode()
+    out = Counter()
+    for n in (1, 2, 3, 4):
+        for i in range(len(data) - n + 1):
+            g = 0
+            for b in data[i : i + n]:
+                g = (g * 257 + b) % 2**32
+            out[((g + n * 0x9E3779) % 2**32 * 2654435761 % 2**32 >> 18) % langid.BUCKETS] += 1
+    return out
+
+
+def brute_language(train, t, smooth=0.5):
+    """(language, score) by the definition: mean distributions of both sides of a bit, expected margins as weights of bits."""
+    langs = sorted({x for x, _ in train})
+    total = {x: Counter() for x in langs}
+    for x, s in train:
+        total[x] += brute_grams(s)
+    p = {x: [(total[x][b] + smooth) / (sum(total[x].values()) + smooth * langid.BUCKETS) for b in range(langid.BUCKETS)] for x in langs}
+    code = langid.codewords(len(langs)).tolist()
+    bits = range(len(code[0]))
+    mean = lambda bit, sign, b: np.mean([p[x][b] for x, c in zip(langs, code) if c[bit] == sign])
+    seen = brute_grams(t)
+    weight = {b: [math.log(mean(k, 1, b) / mean(k, -1, b)) for k in bits] for b in range(langid.BUCKETS) if seen[b] or any(total[x][b] for x in langs)}
+    rest = next(b for b in range(langid.BUCKETS) if b not in weight)  # buckets that no text has are alike
+    other = [math.log(mean(k, 1, rest) / mean(k, -1, rest)) for k in bits]
+    trust = [[max(c[k] * sum(p[x][b] * weight.get(b, other)[k] for b in range(langid.BUCKETS)), 1e-9) for k in bits] for x, c in zip(langs, code)]
+    n = sum(seen.values())
+    margin = [sum(m * weight[b][k] for b, m in seen.items()) * min(n, langid.EVIDENCE) / n / 4 for k in bits]
+    loss = [sum(w / sum(ws) * math.log1p(math.exp(-c[k] * margin[k])) for k, w in enumerate(ws)) for c, ws in zip(code, trust)]
+    share = [math.exp(min(loss) - x) for x in loss]
+    return langs[loss.index(min(loss))], max(share) / sum(share)
+
+
+def test_language_equals_the_definition(spark):
+    rng = random.Random(12)
+    train = [(x, text(rng, x, 12)) for x in sorted(WORDS) for _ in range(4)]
+    model = langid.fit(spark.createDataFrame(train, "lang string, text string"), F.lit(True))
+    for t in [text(rng, x, n) for x in sorted(WORDS) for n in (2, 15)] + ["Über water, nicht les 12 pour!"]:
+        lang, score, _ = model.predict(t)
+        want, near = brute_language(train, t)
+        assert lang == want and score == pytest.approx(near, abs=1e-9)
+
+
+def test_few_of_many_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    rows = [(f"x{k}", f"word{k}") for k in range(9) for _ in range(1 + (k in (2, 5, 7)))]
+    assert langid.fit(spark.createDataFrame(rows, "lang string, text string"), F.lit(True)).langs == ["x2", "x5", "x7"]
 
 
 def test_long_texts_are_counted_whole(monkeypatch):
