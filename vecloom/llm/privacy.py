@@ -26,7 +26,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 #: The plain pattern takes a whole run of digits with single separators; only runs of 14 to 19 digits can pass.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SUPPORT = 3
+#: Different contexts in which a term must stand with an entity: what was seen once may be chance.
+SUPPORT = 2
 GENERALISE = 0.8
 REMOVE = 0.95
 #: Characters on each side of a mention that are its context.
@@ -159,10 +160,11 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     mentions = scanned.filter("mentions IS NOT NULL").select("mark", F.explode("mentions").alias("m")).select("mark", "m.*")
     strong = disclosing(mentions, rows, support, generalise)
     n_strong = strong.count()
-    plain = scanned.select("doc_id", "mark", "spans")
+    plain = scanned.select("doc_id", "mark", "spans", F.array().cast("array<string>").alias("gone"))
     if n_strong:
         by_doc = scanned.filter("mentions IS NOT NULL").select("doc_id", "mark", F.explode("mentions.entity").alias("own")).distinct()
-        by_doc = by_doc.join(strong, F.col("own") == F.col("entity")).groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        leaves = F.when(F.col("disclosure") >= remove, F.col("term"))
+        by_doc = by_doc.join(strong, F.col("own") == F.col("entity")).groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.collect_set(leaves).alias("gone"))
         by_doc = stored(by_doc, "doc-terms")
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
         # Only documents that hold a disclosing term are joined with their text again.
@@ -179,28 +181,27 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
 
         extra = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
         texts = texts.withColumn("pattern", pattern)
-        texts = texts.select("doc_id", "mark", extra.alias("extra")).distinct()
-        texts = stored(texts.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "extra"), "term-spans")
-        own = plain.join(texts, same, "left").drop("d", "m")
+        texts = texts.select("doc_id", "mark", extra.alias("extra"), "gone").distinct()
+        texts = stored(texts.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "extra", "gone"), "term-spans")
+        own = plain.drop("gone").join(texts, same, "left").drop("d", "m")
         free = F.filter("extra", lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
         plain = own.withColumn("spans", F.when(F.col("extra").isNotNull(), F.array_sort(F.concat("spans", free))).otherwise(F.col("spans"))).drop("extra")
     if not redact:
         return plain.select("doc_id", "spans")
-    levels = strong.filter(F.col("disclosure") >= remove).select(F.col("term").alias("gone")).distinct()
-    return redacted(rows.withColumn("mark", mark), plain, levels)
+    return redacted(rows.withColumn("mark", mark), plain)
 
 
-def redacted(rows: DataFrame, spans: DataFrame, gone: DataFrame) -> DataFrame:
-    """Replace spans in the text: a base span by <KIND>, a term by <TERM>, or by nothing if it is in ``gone(gone)``."""
+def redacted(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Replace ``spans(doc_id, mark, spans, gone)`` in the text: a base span by <KIND>, a term by <TERM>, or by nothing if it is
+    among the document's ``gone``."""
     one = spans.withColumnsRenamed({"doc_id": "d", "mark": "m"}).dropDuplicates(["d", "m"])
-    removed = gone.agg(F.collect_set("gone").alias("removed"))
-    both = rows.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).drop("d", "m").join(F.broadcast(removed))
+    both = rows.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).drop("d", "m")
     upper = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(state: Column, s: Column) -> Column:
         inside = s["start"] < state["at"]  # overlaps the span before: that one covers it
         between = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        label = F.when((s["kind"] == 4) & F.array_contains(F.col("removed"), s["value"]), "").otherwise(F.element_at(upper, s["kind"] + 1))
+        label = F.when((s["kind"] == 4) & F.array_contains(F.coalesce("gone", F.array().cast("array<string>")), s["value"]), "").otherwise(F.element_at(upper, s["kind"] + 1))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], between, F.when(inside, "").otherwise(label)).alias("out"))
 
     text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
@@ -209,5 +210,9 @@ def redacted(rows: DataFrame, spans: DataFrame, gone: DataFrame) -> DataFrame:
 
 def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    number = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return rows.select("doc_id", *number, F.sha2(F.encode(named(F.col("spans"), 4), "UTF-8"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+    def number(k: int) -> Column:
+        # One parameter only: Spark gives a second one the index.
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    return rows.select("doc_id", *map(number, range(4)), F.sha2(F.encode(named(F.col("spans"), 4), "UTF-8"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
