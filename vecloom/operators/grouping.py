@@ -18,7 +18,8 @@ def wrap_subgroups(ptrs: DataFrame, mean: int, bucket: int = BUCKET) -> DataFram
         raise ValueError("mean must be positive")
     rows = ptrs.select("i", "ptr", F.floor(F.col("ptr") / F.lit(mean)).cast("long").alias("cur"))
     rows = running(rows, F.col("cur"), "max", "prev", bucket=bucket, exclusive=True)
-    last, total = ptrs.agg(F.max("i")).scalar(), ptrs.agg(F.max("ptr")).scalar()
+    ends = ptrs.agg(F.struct(F.max("i").alias("last"), F.max("ptr").alias("total")).alias("e")).scalar()
+    last, total = ends["last"], ends["total"]
     n = F.greatest(F.floor(total / F.lit(mean)).cast("long") + 1, F.lit(2).cast("long")) - 1
     inner = (F.col("cur") != F.col("prev")) & (F.col("cur") != 0) & (F.col("cur") != n)
     kept = rows.filter((last > 0) & ((F.col("i") == 0) | (F.col("i") == last) | inner)).select("i")
