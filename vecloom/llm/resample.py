@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import only, slices, stored, text_batches, texts
+from vecloom.llm.common import hashed_words, lean, only, slices, stored, text_batches, texts
 
 BUCKETS = 1 << 16
 SMOOTH = 0.1
@@ -28,10 +28,7 @@ SEED = 11
 
 def features(text: bytes) -> np.ndarray:
     """Buckets of all words and word pairs of a text, A-Z lowered."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h = hashed_words(text.lower())
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
     both = np.concatenate([h, pairs * np.uint64(0xC2B2AE3D27D4EB4F)])
     return (both >> np.uint64(48)).astype(np.int64) % BUCKETS
@@ -97,7 +94,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sam
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(own[at])], ["bucket", "raw", "own"])
 
-    table = rows.mapInArrow(count, "bucket long, raw long, own long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).toArrow()
+    table = rows.mapInArrow(lean(count), "bucket long, raw long, own long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).toArrow()
     raw, own = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
     at = table.column("bucket").to_numpy()
     raw[at] += table.column("raw").to_numpy()
@@ -112,7 +109,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sam
                 key = weight + noise(ids.fill_null(-(1 << 62)).to_numpy(), seed)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(weight), pa.array(key), pa.array(ordered(key))], ["doc_id", "log_weight", "key", "order"])
 
-    scored = stored(rows.mapInArrow(score, "doc_id long, log_weight double, key double, order long"), "scored")
+    scored = stored(rows.mapInArrow(lean(score), "doc_id long, log_weight double, key double, order long"), "scored")
     n = scored.count()
     k = min(n, round(share * n))
     cut = F.lit(False) if k < 1 else F.col("order") >= F.lit(kth_key(scored, k))
