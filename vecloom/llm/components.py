@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import stored
+from vecloom.llm.common import discard, stored
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges(a, b). Large: link a vertex's larger neighbours to its least neighbour; small: the smaller ones and itself."""
+    """A round over stored ``edges(a, b)``, which are deleted after it. Large: link a vertex's larger neighbours to its least
+    neighbour; small: the smaller ones and itself."""
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = near.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -26,7 +27,9 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
         out = pairs.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = pairs.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("x").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    done = stored(out.filter("a <> b").distinct(), "large" if large else "small")
+    discard(least, edges)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,6 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now[0] == 0 or now == mark:
             break
         mark = now
-        edges = stored(star(stored(star(edges, True), "large"), False), "small")
+        edges = star(star(edges, True), False)
     own = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(own)
