@@ -382,6 +382,26 @@ def test_mixing_keeps_each_documents_expectation(spark):
     assert got.count() == 2400 and abs(got.agg(F.avg("copies")).first()[0] - 0.3) < 0.03
 
 
+def test_rows_of_one_key_are_numbered_in_parts(spark):
+    rows = [(None if i % 3 else i % 2, "a" if i % 4 else None, f"text {i % 50} x") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    keyed = df.select(F.struct("*").alias("doc"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.lit(3).cast("long").alias("n"))
+    got = {}
+    for r in mixing.numbered(keyed).collect():
+        got.setdefault((r["d"], r["s"], r["n"]), []).append(r["_at"])
+    assert sum(map(len, got.values())) == 400 and all(sorted(v) == list(range(1, len(v) + 1)) for v in got.values())
+
+
+def test_stored_tables_can_be_deleted(spark):
+    import os
+
+    one = common.stored(spark.range(3).toDF("x"), "one")
+    path = one.stored_at.removeprefix("file://")
+    assert one.count() == 3 and os.path.isdir(path)
+    common.discard(one)
+    assert not os.path.exists(path)
+
+
 # Language
 
 
@@ -728,7 +748,7 @@ def test_repeats_equal_brute_force(spark, window):
     shared = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(4)]
     docs = [(i, " ".join(x for _ in range(rng.randint(0, 4)) for x in (" ".join(rng.choice("abé") for _ in range(rng.randint(0, 15))), rng.choice(shared)))) for i in range(120)] + [(130, None), (131, ""), (132, "a " * 3000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    for sizes in ({"group": 200, "chunk_bytes": 900, "tree": 40}, {"group": 200, "chunk_bytes": 900, "tree": 5000}, {}):
+    for sizes in ({"group": 200, "chunk_bytes": 900, "tree": 40}, {"group": 60, "chunk_bytes": 900, "tree": 40, "fan": 3}, {"group": 200, "chunk_bytes": 900, "tree": 5000}, {}):
         got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, window, **sizes).collect()}
         assert got == brute_repeats(docs, window)
 

@@ -33,13 +33,17 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import hashed_words, lean, only, slices, stored, text_batches, texts, trim, word_pieces, word_spans
+from vecloom.llm.common import discard, hashed_words, lean, only, slices, stored, text_batches, texts, trim, word_pieces, word_spans
 
 WINDOW = 20
 DEPTHS = (1, 2, 4, 8)
 #: Suffixes of a group of the filter (some 40 bytes each while the task sorts them) and bytes of text for each of them.
 GROUP = 2 << 20
 WORD_BYTES = 6
+#: Groups that a chunk deals to at most. More are dealt in two steps: to so many coarse groups, whose parts of about
+#: ``PART_BYTES`` deal again, so that what travels is always a few thousand suffixes together and not single ones.
+FAN = 512
+PART_BYTES = 48 << 20
 #: Suffixes of a tree (some 300 bytes each in its task).
 TREE = 1 << 18
 #: Cells in which prefixes are counted: four for each tree, between these bounds.
@@ -185,8 +189,9 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         self.start = np.concatenate([np.zeros(0, np.int64), *(np.arange(d[2], d[2] + n) for d, n in zip(docs, sizes))])
 
-    def leaves(self, groups: int) -> Iterator[tuple[int, int, bytes]]:
-        """(group, kind, blob): kind 0, the first occurrence of each window for its group; kind 1, windows that are here more than once."""
+    def leaves(self, groups: int, whole: bool = False) -> Iterator[tuple[int, int, bytes]]:
+        """(group, kind, blob): kind 0, the first occurrence of each window for its group; kind 1, windows that are here more than
+        once. A blob has 32 bits of each window's hash, or all 64 if it will be dealt again."""
         if not len(self.paths):
             return
         order = np.argsort(self.paths, kind="stable")
@@ -196,14 +201,43 @@ class Chunk:
         if len(again):  # any group will do; chunks spread over all
             yield int(self.paths[0] % np.uint64(groups)), 1, by_document(self.ids[self.doc[again]], self.marks[self.doc[again]], self.start[again])
         once = np.sort(order[cut])
-        g = (((self.paths[once] >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
-        by = np.argsort(g.astype(np.uint16) if groups < 65536 else g, kind="stable")
-        cuts = heads(g[by])
-        for a, b in zip(cuts, np.append(cuts[1:], len(by))):
-            own = once[by[a:b]]
-            doc, start = self.doc[own], self.start[own]
-            at = heads(doc)
-            yield int(g[by[a]]), 0, self.paths[own].astype(np.uint32).tobytes().join(placed(doc, self.ids[doc[at]], self.marks[doc[at]], start))
+        yield from dealt_leaves(self.paths[once], self.doc[once], self.ids, self.marks, self.start[once], groups, whole)
+
+
+def dealt_leaves(paths: np.ndarray, doc: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray, groups: int, whole: bool) -> Iterator[tuple[int, int, bytes]]:
+    """Suffixes in order of document and start, one blob for each group; ``ids`` and ``marks`` are those of the documents."""
+    g = (((paths >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(g.astype(np.uint16) if groups < 65536 else g, kind="stable")
+    cuts = heads(g[by])
+    for a, b in zip(cuts, np.append(cuts[1:], len(by))):
+        own = by[a:b]
+        bits = paths[own] if whole else paths[own].astype(np.uint32)
+        at = heads(doc[own])
+        size, place = placed(doc[own], ids[doc[own][at]], marks[doc[own][at]], start[own])
+        yield int(g[own[0]]), 0, size + bits.tobytes() + place
+
+
+def dealt_again(kinds: list[int], blobs: list, groups: int) -> Iterator[tuple[int, int, bytes]]:
+    """Blobs of one part of a coarse group, dealt to the groups."""
+    paths, ids, marks, starts = [], [], [], []
+    for kind, blob in zip(kinds, blobs):
+        data = memoryview(blob)
+        if kind:
+            yield int(xxhash.xxh64_intdigest(data[:64]) % groups), 1, bytes(data)
+            continue
+        n, m = np.frombuffer(data, np.int64, 2).tolist()
+        paths.append(np.frombuffer(data, np.uint64, n, 16))
+        for x, into in zip(places(data[16 + 8 * n :], n, m), (ids, marks, starts)):
+            into.append(x)
+    if not paths:
+        return
+    path, doc_id, mark, start = (np.concatenate(x) for x in (paths, ids, marks, starts))
+    order = np.lexsort((start, mark, doc_id))
+    path, doc_id, mark, start = path[order], doc_id[order], mark[order], start[order]
+    new = heads(doc_id, mark)
+    doc = np.zeros(len(path), np.int32)
+    doc[new[1:]] = 1
+    yield from dealt_leaves(path, np.cumsum(doc), doc_id[new], mark[new], start, groups, False)
 
 
 def placed(doc: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes]:
@@ -396,7 +430,7 @@ def later_in_tree(kinds: list[int], blobs: list, window: int, buckets: int) -> t
 BLOBS = "bucket long, runs binary"
 
 
-def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_bytes: int) -> DataFrame:
+def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_bytes: int, fan: int) -> DataFrame:
     """(d, m, runs) with first and last starts of windows that also start earlier, from ``rows(doc_id, mark, text)``."""
     total = lambda df, c: df.agg(F.sum(F.octet_length(c))).first()[0] or 0
     size = total(rows, "text")
@@ -407,6 +441,8 @@ def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_byte
     def filtered(texts_of: DataFrame, size: int, name: str) -> DataFrame:
         """(d, m, runs): suffixes of ``texts_of(doc_id, mark, start, text)`` that may not be alone."""
         groups = max(1, -(-size // (WORD_BYTES * group)))
+        coarse = min(groups, fan)
+        parts = 1 if groups <= fan else max(1, -(-2 * size // (PART_BYTES * coarse)))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, held = [], 0
@@ -417,13 +453,21 @@ def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_byte
                         docs.append((*(c[i] for c in own), hashed_words(text)))
                         held += len(text)
                         if held >= chunk_bytes:
-                            if out := list(Chunk(docs, window).leaves(groups)):
+                            if out := list(Chunk(docs, window).leaves(coarse, groups > fan)):
                                 yield batch_of(out, *sent)
                             docs, held = [], 0
-            if docs and (out := list(Chunk(docs, window).leaves(groups))):
+            if docs and (out := list(Chunk(docs, window).leaves(coarse, groups > fan))):
                 yield batch_of(out, *sent)
 
-        leaves = texts_of.mapInArrow(lean(scan), moved).groupBy("g")
+        def deal(table: pa.Table) -> pa.Table:
+            rows = list(dealt_again(*columns(table.select(["kind", "leaves"])), groups))
+            trim()
+            return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, sent[0])], sent[1])
+
+        leaves = texts_of.mapInArrow(lean(scan), moved)
+        if groups > fan:
+            leaves = leaves.groupBy("g", F.pmod(F.xxhash64("leaves"), F.lit(parts)).alias("part")).applyInArrow(deal, moved)
+        leaves = leaves.select("g", "kind", "leaves").groupBy("g")
         return per_document(leaves.applyInArrow(lambda t: blobs(survivors(*columns(t), buckets)), BLOBS), name)
 
     def columns(table: pa.Table) -> tuple[list[int], list]:
@@ -524,13 +568,15 @@ def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_byte
     both = held.applyInArrow(lambda t: distinct(t.select(["kind", "leaves"])), BLOBS + ", doc_id long, mark long, start long, text binary, low long")
     both = stored(both, "passages")
     gone, firsts = both.filter("bucket IS NOT NULL").select("bucket", "runs"), both.filter("text IS NOT NULL").drop("bucket", "runs")
-    alive = filtered(firsts.drop("low"), total(firsts, "text"), "survivors-of-passages").select(F.coalesce("d", F.lit(NULL_ID)).alias("d"), "m", "runs")
+    discard(alive)
+    alive = filtered(firsts.drop("low"), total(firsts, "text"), "survivors-of-passages")
 
     # Trees over the distinct passages. Those with the same least window hash are neighbours; a very common hash is cut by text.
-    feed = firsts.join(alive, (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("m"))).drop("d", "m")
-    feed = stored(feed, "passages-left")
-    words = total(feed, "text")
-    feed = stored(feed.repartitionByRange(max(1, -(-words // FEED_BYTES)), "low", F.xxhash64("text")).sortWithinPartitions("low"), "passages-dealt")
+    left = firsts.join(alive, (F.col("doc_id") == F.coalesce("d", F.lit(NULL_ID))) & (F.col("mark") == F.col("m"))).drop("d", "m")
+    left = stored(left, "passages-left")
+    words = total(left, "text")
+    feed = stored(left.repartitionByRange(max(1, -(-words // FEED_BYTES)), "low", F.xxhash64("text")).sortWithinPartitions("low"), "passages-dealt")
+    discard(alive, left)
     cells = min(MOST_CELLS, max(CELLS, 1 << (4 * words // (WORD_BYTES * tree) + 1).bit_length()))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
@@ -556,7 +602,9 @@ def removal_runs(rows: DataFrame, window: int, group: int, tree: int, chunk_byte
 
     nodes = feed.mapInArrow(lean(grow), moved).groupBy("g")
     nodes = nodes.applyInArrow(lambda t: blobs(later_in_tree(*columns(t.select(["kind", "leaves"])), window, buckets)), BLOBS)
-    return per_document(gone.unionByName(nodes), "runs")
+    runs = per_document(gone.unionByName(nodes), "runs")
+    discard(both, feed)
+    return runs
 
 
 def passages_of(text: bytes, runs: np.ndarray, window: int) -> Iterator[tuple[int, bytes]]:
@@ -583,7 +631,7 @@ def keep_mask(n: int, runs: list[int], window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False, tree: int = TREE) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False, tree: int = TREE, fan: int = FAN) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs(doc_id, text)``; with ``keep_text`` also the kept ``text``.
 
     Words are runs of other than ASCII white space, unchanged. Null text has none. Rows that share a doc_id but not the text
@@ -593,7 +641,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, ch
     text_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    found = removal_runs(rows.filter("text IS NOT NULL"), window, group, tree, chunk_bytes)
+    found = removal_runs(rows.filter("text IS NOT NULL"), window, group, tree, chunk_bytes, fan)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text
     schema = "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
