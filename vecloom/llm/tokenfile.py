@@ -1,6 +1,7 @@
 """Token files: ids packed at the fewest bits that hold the vocabulary, with block offsets for random access.
 
-Documents are range-partitioned and sorted by doc_id; a partition is a shard. A shard's ids go to frames of about
+Documents are range-partitioned and sorted by doc_id, then by the text's beginning and hash, so that rows which share an id or
+have none are dealt to many tasks; a partition is a shard. A shard's ids go to frames of about
 ``FRAME_IDS`` ids (whole documents). A frame: magic, bits, shard, number, ids before it in the shard, document ids and
 ends, byte offsets of its blocks of ``BLOCK_IDS`` ids, the packed bits, each block from a whole byte on. Frames name their
 own length, so the line feed that Spark's text sink puts after each is skipped. Reading is a bulk numpy unpack; ``ids_at``
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import joined, keyed, only, shared_path, slices, stored, text_batches
+from vecloom.llm.common import joined, keyed, lean, only, shared_path, slices, stored, text_batches
 
 END_ID = 2
 FRAME_IDS = 1 << 20
@@ -42,6 +43,7 @@ IRREGULAR = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{
 LINE_UNITS = 1024
 STEM = re.compile(r"( ?[^\W_]+)([.,]\n?)")
 BROADCAST_SHARDS = 200_000
+HEAD_CHARS = 32
 
 
 def bits_for(vocab: int) -> int:
@@ -240,10 +242,13 @@ def encoder(path: str) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Write the ids of ``docs(doc_id, text)`` under ``path`` in ascending doc_id order (null first; equal ids by text), the end id after each."""
+    """Write the ids of ``docs(doc_id, text)`` under ``path`` in ascending doc_id order (null first; equal ids by the first
+    ``HEAD_CHARS`` characters of the text, then by its hash), the end id after each."""
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text_batches(docs.sparkSession)
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Equal rows can stand in any order, so a number drawn for each deals them too.
+    placed = rows.select("doc_id", "text", F.substring("text", 1, HEAD_CHARS).alias("head"), F.xxhash64("text").alias("hash"), F.rand(7).alias("any"))
+    rows = placed.repartitionByRange("doc_id", "head", "hash", "any").sortWithinPartitions("doc_id", "head", "hash").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
@@ -271,7 +276,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if doc_ids:
             yield done()
 
-    rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", "\n").option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
+    rows.mapInArrow(lean(run), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", "\n").option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -287,7 +292,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([f.shard] * len(crc), pa.int64()), pa.array(f.doc_ids, pa.int64()), pa.array(starts + f.before), pa.array(f.ends - starts), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    rows = stored(files.select("content").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
+    rows = stored(files.select("content").mapInArrow(lean(run), "shard long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     base = stored(totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "shards")
     rows = joined(rows, keyed(base, "shard"), ["shard"], "inner", BROADCAST_SHARDS, base.count())
