@@ -26,8 +26,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 #: The plain pattern takes a whole run of digits with single separators; only runs of 14 to 19 digits can pass.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Different contexts in which a term must stand with an entity: what was seen once may be chance.
-SUPPORT = 2
+#: Different contexts in which a term must stand with an entity: what was seen once or twice may be chance.
+SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 #: Characters on each side of a mention that are its context.
