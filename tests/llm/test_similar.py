@@ -141,3 +141,33 @@ def test_pairs_at_the_threshold_are_told_exactly(spark, tile):
     rows += [(1000 + k, " ".join(chain[6 * k : 6 * k + 100])) for k in range(6)]
     assert sum(0.8 <= s < 0.84 for s in pairs) > 15 and sum(0.74 <= s < 0.8 for s in pairs) > 15
     assert dict(groups(spark, rows, tile=tile)) == exact_groups(rows)
+
+
+@pytest.mark.parametrize("tile", [1, 5, 256])
+def test_tiles_skip_pairs_by_population_count(tile):
+    """Every pair of points within the radius, or with a small set, is met once; tiles have one count, and those too far apart never meet."""
+    rng = np.random.default_rng(4)
+    x, y = (np.sort(np.where(rng.random(60) < 0.1, similar.UNCOUNTED, rng.integers(0, 30, 60))) for _ in range(2))
+    near = lambda p, q: abs(p - q) <= 4 or similar.UNCOUNTED in (p, q)
+    for same, other in ((False, y), (True, x)):
+        met = []
+        for a, b, places in similar.near_tiles(x, other, 4, tile, same):
+            assert b - a <= tile and len(set(x[a:b])) == 1 and all(near(x[a], other[j]) for j in places)
+            met += [(i, j) for i in range(a, b) for j in places.tolist() if not same or i < j]
+        assert sorted(met) == [(i, j) for i in range(60) for j in range(60) if (not same or i < j) and near(x[i], other[j])]
+
+
+@pytest.mark.parametrize("tile", [4, 256])
+def test_candidates_are_those_of_all_pairs_at_any_population_count(spark, tile):
+    """Points of one key with counts from 0 to 512 and small sets, all of one shingle set, against each pair's own distance."""
+    rng, rows, h = np.random.default_rng(6), [], np.arange(1, 21, dtype=np.int64)
+    for i in range(80):
+        bits = rng.random(512) < rng.choice([0.0, 0.1, 0.3, 0.5, 0.9, 1.0])
+        size = 20 if i % 8 else 6
+        rows.append((i, bytearray(np.packbits(bits).tobytes()), int(bits.sum()) if size == 20 else similar.UNCOUNTED, [7], size, i, bytearray(h[:size].tobytes())))
+    points = spark.createDataFrame([r[:6] for r in rows], "mark long, print binary, ones long, keys array<long>, size long, label long")
+    sets = spark.createDataFrame([(r[0], r[6]) for r in rows], "m long, own binary")
+    got = sorted(map(tuple, similar.candidates(points, sets, 0.8, tile).collect()))
+    apart = lambda p, q: (int.from_bytes(p[1], "big") ^ int.from_bytes(q[1], "big")).bit_count()
+    want = [(p[0], q[0]) for p, q in itertools.combinations(rows, 2) if p[4] == q[4] and (p[4] == 6 or apart(p, q) <= similar.reach(0.8))]
+    assert got == want and any(r[2] == 512 for r in rows) and any(r[2] == 0 for r in rows)

@@ -5,7 +5,9 @@ a fingerprint has ``LANES`` x 64 bits over the set of a text's word shingles and
 ``DEVIATIONS`` standard deviations above what a pair at the threshold differs in on average, and a pair counts only if the
 Jaccard similarity of its shingle sets reaches the threshold. Tiles are cut from blocks of points that share one of
 ``BANDS`` keys of ``ROWS`` MinHash values each: a pair of similarity 0.8 shares none with a chance of 0.2 %. Texts of equal
-words are one point. A block that is larger than a tile is dealt as tile pairs over many tasks.
+words are one point. As in :mod:`simhash`, a block's points stand in order of their population counts, a tile has one count, and
+tile pairs whose counts differ by more than the radius are skipped. A block is dealt in slabs of neighbouring counts; pairs of
+slabs go to many tasks, but for those whose counts are all too far apart.
 
 Points that share no key with another leave first, so that only the crowded ones travel. Sets of a large group are not
 compared pair by pair: in ``STARS`` rounds each point is compared with one hub, the closest of those of its blocks that are
@@ -22,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import hashed_words, lean, only, slices, stored, text_batches, texts, word_pieces
 from vecloom.llm.components import components
 from vecloom.llm.leaks import shingle_hashes
+from vecloom.llm.simhash import tiles_of
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -37,8 +40,10 @@ TILE = 256
 SEED = 3
 #: Standard deviations between the mean distance at the threshold and the filter's radius.
 DEVIATIONS = 5
-#: Sets up to this size are not filtered by fingerprint: their majority bits do not follow the angle.
+#: Sets up to this size are not filtered by fingerprint: their majority bits do not follow the angle. They stand first, with UNCOUNTED
+#: for a population count, and their tiles are never skipped.
 SMALL = 8
+UNCOUNTED = -1
 #: Shingles that are hashed at a time.
 PIECE = 4096
 #: Rounds of links to hubs before all other candidates.
@@ -115,21 +120,49 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 class Side:
-    """The points of a tile; ``rests`` are their numbers of shingles that others have too, ``bits`` their bitmaps."""
-
-    def __init__(self, marks: np.ndarray, prints: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rests: np.ndarray, bits: np.ndarray):
-        self.marks, self.prints, self.sizes, self.labels, self.rests, self.bits = marks, prints, sizes, labels, rests, bits
-
-
-def tile_pairs(x: Side, y: Side, similarity: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of points of different label between two tiles, or within one, that may be similar."""
-    apart = np.bitwise_count(x.prints[:, None, :] ^ y.prints[None, :, :]).sum(2, dtype=np.int32)
-    less, more = np.minimum(x.sizes[:, None], y.sizes), np.maximum(x.sizes[:, None], y.sizes)
-    may = (less >= similarity * more - 1e-9) & ((apart <= reach(similarity)) | (less <= SMALL)) & (x.labels[:, None] != y.labels)
+    """The points of a slab in order of ``ones``, their population counts; ``rests`` are their numbers of shingles that others have
+    too, ``bits`` their bitmaps."""
+
+    def __init__(self, marks: np.ndarray, prints: np.ndarray, ones: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rests: np.ndarray, bits: np.ndarray):
+        order = np.argsort(ones, kind="stable")
+        self.marks, self.prints, self.ones, self.sizes, self.labels, self.rests, self.bits = (v[order] for v in (marks, prints, ones, sizes, labels, rests, bits))
+
+
+def near_tiles(x: np.ndarray, y: np.ndarray, radius: int, tile: int, same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(a, b, places): each tile [a, b) of one population count in the order ``x``, with the places in ``y`` of the tiles that are
+    not beyond the radius; within one slab (``same``) of those from the tile on."""
+    uncounted = int(np.searchsorted(y, UNCOUNTED, "right"))
+    for a, n in zip(*(v.tolist() for v in tiles_of(np.zeros(len(x), np.int64), x, tile))):
+        if x[a] == UNCOUNTED:
+            first, end = 0, len(y)
+        else:
+            first, end = np.searchsorted(y, x[a] - radius), np.searchsorted(y, x[a] + radius, "right")
+        if same:
+            yield a, a + n, np.arange(a, end)
+        else:
+            yield a, a + n, np.concatenate([np.arange(min(uncounted, first)), np.arange(first, end)])
+
+
+def tile_pairs(x: Side, y: Side, similarity: float, tile: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of points of different label between two slabs, or within one, that may be similar."""
+    radius = reach(similarity)
     # J >= t means that at least t / (1 + t) of both sizes together is shared.
     share = similarity / (1 + similarity)
-    may &= np.minimum(x.rests[:, None], y.rests) >= share * (x.sizes[:, None] + y.sizes) - 1e-6
-    i, j = np.nonzero(np.triu(may, 1) if same else may)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b, places in near_tiles(x.ones, y.ones, radius, tile, same):
+        if not len(places):
+            continue
+        apart = np.bitwise_count(x.prints[a:b, None, :] ^ y.prints[places][None, :, :]).sum(2, dtype=np.int32)
+        sizes, others = x.sizes[a:b, None], y.sizes[places]
+        less, more = np.minimum(sizes, others), np.maximum(sizes, others)
+        may = (less >= similarity * more - 1e-9) & ((apart <= radius) | (less <= SMALL)) & (x.labels[a:b, None] != y.labels[places])
+        may &= np.minimum(x.rests[a:b, None], y.rests[places]) >= share * (sizes + others) - 1e-6
+        if same:
+            may &= places > np.arange(a, b)[:, None]
+        i, j = np.nonzero(may)
+        left.append(a + i)
+        right.append(places[j])
+    i, j = np.concatenate(left), np.concatenate(right)
     only_x, only_y = (np.bitwise_count(a & ~b).sum(1, dtype=np.int64) for a, b in ((x.bits[i], y.bits[j]), (y.bits[j], x.bits[i])))
     near = np.minimum(x.sizes[i] - only_x, y.sizes[j] - only_y) >= share * (x.sizes[i] + y.sizes[j]) - 1e-6
     return i[near], j[near]
@@ -137,10 +170,11 @@ def tile_pairs(x: Side, y: Side, similarity: float, same: bool) -> tuple[np.ndar
 
 def hubs(points: DataFrame, similarity: float, turn: int) -> DataFrame:
     """(a, b), a < b: each point with the closest hub of another label that it may be similar to; one hub a key and turn."""
-    keyed = points.select("mark", "print", "size", "label", F.explode("keys").alias("key"))
-    first = F.min_by(F.struct("mark", "print", "size", "label"), F.xxhash64("mark", F.lit(turn))).alias("hub")
+    keyed = points.select("mark", "print", "ones", "size", "label", F.explode("keys").alias("key"))
+    first = F.min_by(F.struct("mark", "print", "ones", "size", "label"), F.xxhash64("mark", F.lit(turn))).alias("hub")
     hub = keyed.groupBy(F.col("key").alias("k")).agg(first, F.min("label").alias("l"), F.max("label").alias("l2")).filter("l <> l2").select("k", "hub")
     rays = keyed.join(hub, F.col("key") == F.col("k")).filter("label <> hub.label").filter(F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size") - 1e-9)
+    rays = rays.filter((F.abs(F.col("ones") - F.col("hub.ones")) <= reach(similarity)) | (F.least("ones", "hub.ones") == UNCOUNTED))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,23 +214,31 @@ def rests(sets: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def candidates(points: DataFrame, sets: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """(a, b), a < b: marks of all pairs of ``points(mark, print, keys, size, label)`` that share a key, differ in label and may be similar."""
-    keyed = points.select("mark", "print", "size", "label", F.explode("keys").alias("key"))
-    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("l2")).filter("l <> l2")
-    shared = stored(shared.select("k", F.ceil(F.col("n") / tile).alias("parts")), "shared-keys")
-    met = stored(keyed.join(shared, F.col("key") == F.col("k")).drop("k"), "in-shared-keys")
+    """(a, b), a < b: marks of all pairs of ``points(mark, print, ones, keys, size, label)`` that share a key, differ in label and may
+    be similar."""
+    keyed = points.select("mark", "print", "ones", "size", "label", F.explode("keys").alias("key"))
+    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("l"), F.max("label").alias("l2")).filter("l <> l2")
+    met = stored(keyed.join(stored(shared.select("k"), "shared-keys"), F.col("key") == F.col("k")).drop("k"), "in-shared-keys")
+    # Slabs of neighbouring counts; a count of more points than a tile is dealt further by their marks. A key has 514 counts at most.
+    counts = met.groupBy(F.col("key").alias("ck"), F.col("ones").alias("co")).agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("ck").orderBy("co").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("n", F.sum("m").over(Window.partitionBy("ck")))
+    counts = counts.select("ck", "co", F.floor(F.col("before") / tile).alias("slab"), F.ceil(F.col("m") / tile).alias("parts"), (F.col("n") > tile).alias("large"))
+    counts = stored(counts, "slabs")
     alone = rests(sets, stored(met.select("mark").distinct(), "in-shared-keys-marks"))
     met = met.join(alone, F.col("mark") == F.col("rm")).withColumn("rest", F.col("size") - F.coalesce("alone", F.lit(0)))
-    dealt = met.groupBy("key", "parts", F.pmod(F.xxhash64("mark"), F.col("parts")).alias("part"))
-    lists = [F.collect_list(n).alias(f"{n}s") for n in ("mark", "size", "label", "rest")]
+    met = met.join(few(counts), (F.col("key") == F.col("ck")) & (F.col("ones") == F.col("co")))
+    dealt = met.groupBy("key", "large", "slab", F.pmod(F.xxhash64("mark"), F.col("parts")).alias("part"))
+    lists = [F.collect_list(n).alias(n if n == "ones" else f"{n}s") for n in ("mark", "ones", "size", "label", "rest")]
     lists += [F.array_join(F.collect_list(F.hex(n)), "").alias(m) for n, m in (("print", "prints"), ("bits", "bitmaps"))]
+    lists += [F.min("ones").alias("low"), F.max("ones").alias("high")]
     tiles = stored(dealt.agg(*lists).withColumns({n: F.unhex(n) for n in ("prints", "bitmaps")}), "similar-tiles")
 
     def found(batches: Iterator[pa.RecordBatch], other: bool) -> Iterator[pa.RecordBatch]:
         def side(batch: pa.RecordBatch, suffix: str, i: int) -> Side:
-            marks, sizes, labels, rests = (batch.column(n + suffix)[i].values.to_numpy() for n in ("marks", "sizes", "labels", "rests"))
+            marks, ones, sizes, labels, rests = (batch.column(n + suffix)[i].values.to_numpy() for n in ("marks", "ones", "sizes", "labels", "rests"))
             prints, bits = (np.frombuffer(batch.column(n + suffix)[i].as_buffer(), np.uint64).reshape(len(marks), -1) for n in ("prints", "bitmaps"))
-            return Side(marks, prints, sizes, labels, rests, bits)
+            return Side(marks, prints, ones, sizes, labels, rests, bits)
 
         def made(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
             a, b = (np.concatenate([np.zeros(0, np.int64), *p]) for p in (left, right))
@@ -207,7 +249,7 @@ def candidates(points: DataFrame, sets: DataFrame, similarity: float, tile: int)
             for i in range(batch.num_rows):
                 x = side(batch, "", i)
                 y = side(batch, "2", i) if other else x
-                a, b = tile_pairs(x, y, similarity, not other)
+                a, b = tile_pairs(x, y, similarity, tile, not other)
                 left.append(x.marks[a])
                 right.append(y.marks[b])
                 held += len(a)
@@ -216,11 +258,12 @@ def candidates(points: DataFrame, sets: DataFrame, similarity: float, tile: int)
                     left, right, held = [], [], 0
             yield made(left, right)
 
-    names = ["marks", "sizes", "labels", "rests", "prints", "bitmaps"]
+    names = ["marks", "ones", "sizes", "labels", "rests", "prints", "bitmaps"]
     inside = tiles.select(*names).mapInArrow(lean(lambda batches: found(batches, False)), "a long, b long")
-    large = tiles.filter("parts > 1")
-    second = large.select(F.col("key").alias("key2"), F.col("part").alias("part2"), *[F.col(n).alias(n + "2") for n in names])
-    pairs = large.join(second, (F.col("key") == F.col("key2")) & (F.col("part") < F.col("part2")))
+    large = tiles.filter("large")
+    second = large.select(F.col("key").alias("key2"), *[F.col(n).alias(n + "2") for n in ("slab", "part", "low", "high", *names)])
+    pairs = large.join(second, (F.col("key") == F.col("key2")) & (F.expr("slab < slab2 OR slab = slab2 AND part < part2")))
+    pairs = pairs.filter((F.greatest("low", "low2") - F.least("high", "high2") <= reach(similarity)) | (F.least("low", "low2") == UNCOUNTED))
     pairs = pairs.select(*names, *[n + "2" for n in names]).repartition(F.xxhash64("marks", "marks2"))
     return inside.unionByName(pairs.mapInArrow(lean(lambda batches: found(batches, True)), "a long, b long")).distinct()
 
@@ -278,22 +321,24 @@ def grouped(docs: DataFrame, similarity: float, width: int, tile: int) -> tuple[
             for a, b in slices(batch, "text"):
                 marks, prints, keys, sizes = zip(*(sized_sketch(t, width) for t in texts(batch, "text", a, b)))
                 longs = np.array(marks, np.uint64).view(np.int64)
+                ones = np.bitwise_count(np.frombuffer(b"".join(prints), np.uint64).reshape(-1, LANES)).sum(1, dtype=np.int64)
+                ones[np.array(sizes) <= SMALL] = UNCOUNTED
                 keys = [np.array(k, np.uint64).view(np.int64) for k in keys]
                 own = [batch.column(n).slice(a, b - a) for n in ("doc_id", "raw")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(longs), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "raw", "mark", "print", "keys", "size"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(longs), pa.array(prints, pa.binary()), pa.array(ones), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "raw", "mark", "print", "ones", "keys", "size"])
 
     text_batches(docs.sparkSession)
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("raw", F.xxhash64("text"))
-    sketches = stored(rows.mapInArrow(lean(run), "doc_id long, raw long, mark long, print binary, keys array<long>, size long"), "sketches")
+    sketches = stored(rows.mapInArrow(lean(run), "doc_id long, raw long, mark long, print binary, ones long, keys array<long>, size long"), "sketches")
     # Aggregates of plain columns are summed before the shuffle, so a text with many copies is a row a task.
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw").cast(FIRST)
-    points = sketches.groupBy("mark").agg(F.min(first).alias("first"), F.min("raw").alias("raw"), F.count("*").alias("n"), *[F.first(n).alias(n) for n in ("print", "keys", "size")])
+    points = sketches.groupBy("mark").agg(F.min(first).alias("first"), F.min("raw").alias("raw"), F.count("*").alias("n"), *[F.first(n).alias(n) for n in ("print", "ones", "keys", "size")])
     points = stored(points, "points")
     keyed = points.select("mark", F.explode("keys").alias("key"))
     shared = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").select("k")
     crowded = keyed.join(shared, F.col("key") == F.col("k"), "left_semi").groupBy(F.col("mark").alias("cm")).agg(F.collect_list("key").alias("keys"))
-    crowd = stored(points.select("mark", "raw", "print", "size").join(stored(crowded, "crowded"), F.col("mark") == F.col("cm")).drop("cm"), "crowd")
+    crowd = stored(points.select("mark", "raw", "print", "ones", "size").join(stored(crowded, "crowded"), F.col("mark") == F.col("cm")).drop("cm"), "crowd")
     sets = shingle_sets(crowd, rows, width)
     labelled, known = crowd.withColumn("label", F.col("mark")), None
 
@@ -303,7 +348,7 @@ def grouped(docs: DataFrame, similarity: float, width: int, tile: int) -> tuple[
 
     for turn in range(STARS):
         known = stored(linked(hubs(labelled, similarity, turn)), "known")
-        labelled = stored(crowd.join(known, F.col("mark") == F.col("id"), "left").select("mark", "print", "keys", "size", F.coalesce("component", "mark").alias("label")), "labelled")
+        labelled = stored(crowd.join(known, F.col("mark") == F.col("id"), "left").select("mark", "print", "ones", "keys", "size", F.coalesce("component", "mark").alias("label")), "labelled")
     parts = stored(linked(candidates(labelled, sets, similarity, tile)), "parts")
     members = stored(points.select("mark", "first").join(parts, F.col("mark") == F.col("id")).select("mark", "first", "component"), "members")
     # Stored, so that both sides of the join are plain exchanges and adaptive execution can split a large group.
