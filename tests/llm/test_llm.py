@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -819,3 +822,39 @@ def test_repeats_edges(spark, edge_docs):
     assert repeats.remove_repeats(edge_docs.limit(0)).count() == 0
     kept = repeats.remove_repeats(docs_of(spark, ["a b c d", "x a b c y"]), 3, keep_text=True).collect()
     assert {r["doc_id"]: r["text"] for r in kept} == {0: "a b c d", 1: "x y"}
+
+
+MEMORY = """
+import random, re, sys, threading, time
+import pyarrow as pa
+from vecloom.llm import tokenfile
+from vecloom.llm.common import slices
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = random.Random(8)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300_000)]
+batch = pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choices(words, k=1000)) for _ in range(2300)])], ["text"])
+del words
+enc = tokenfile.encoder(tokenfile.tokenizer_path(), True)
+first = most = held()
+
+def watch():
+    global most
+    while True:
+        most = max(most, held())
+        time.sleep(0.005)
+
+threading.Thread(target=watch, daemon=True).start()
+for a, b in slices(batch, "text", tokenfile.LEAN_BYTES):
+    enc.encode(batch.column("text").slice(a, b - a))
+print(most - first)
+"""
+
+
+def test_encoding_a_batch_of_new_words_takes_bounded_memory():
+    """16 MB of text with 300,000 words that no cache knows, in a process of its own."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", MEMORY], cwd=root, capture_output=True, text=True, check=True, timeout=300)
+    assert float(out.stdout) < 100

@@ -37,6 +37,9 @@ CACHE_UNITS = 700_000
 NEW_UNITS = 200_000
 #: Texts are encoded in slices of this size.
 ENCODE_BYTES = 8 << 20
+#: The same two where memory is short, as in the pipeline, whose executors have served other stages; more CPU time.
+LEAN_UNITS = 100_000
+LEAN_BYTES = 2 << 20
 #: White space other than single spaces and line feeds between other characters.
 IRREGULAR = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ ]|[ ]$"
 #: Units that begin with a space are encoded in lines of this many.
@@ -140,7 +143,8 @@ class Encoder:
     units new since it was made are in a dict.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_new: int | None = None):
+        self.most_new = most_new or NEW_UNITS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -189,7 +193,7 @@ class Encoder:
 
     def settle(self) -> None:
         """Move new units to the table, with those of its own that most slices used."""
-        best = np.argsort(-self.used, kind="stable")[: CACHE_UNITS - NEW_UNITS]
+        best = np.argsort(-self.used, kind="stable")[: CACHE_UNITS - self.most_new]
         best = pa.array(np.sort(best[self.used[best] > 0]))
         units, ids = listed(list(self.new.values()), self.kind), pa.array(list(self.new), pa.string())
         self.keys = pa.concat_arrays([self.keys.take(best), ids])
@@ -198,7 +202,7 @@ class Encoder:
         self.new = {}
 
     def encode_regular(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.new) > NEW_UNITS:
+        if len(self.new) > self.most_new:
             self.settle()
         split = pc.split_pattern(pc.replace_substring(pc.replace_substring(batch, "\n", "\n\0"), " ", "\0 "), "\0")
         coded = split.values.dictionary_encode()
@@ -232,16 +236,16 @@ class Encoder:
         return np.concatenate(each) if each else np.zeros(0, self.kind), np.array([len(e) for e in each], np.int64)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, short: bool = False) -> Encoder:
+    if (path, short) not in _encoders:
+        _encoders[path, short] = Encoder(path, LEAN_UNITS if short else None)
+    return _encoders[path, short]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, short: bool = False) -> None:
     """Write the ids of ``docs(doc_id, text)`` under ``path`` in ascending doc_id order (null first; equal ids by the first
     ``HEAD_CHARS`` characters of the text, then by its hash), the end id after each."""
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -251,7 +255,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rows = placed.repartitionByRange("doc_id", "head", "hash", "any").sortWithinPartitions("doc_id", "head", "hash").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer, short), TaskContext.get().partitionId()
         bits, end = bits_for(max(enc.vocab, end_id + 1)), np.uint32(end_id)
         number = before = held = 0
         doc_ids, ends, parts = [], [], []
@@ -260,7 +264,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_arrays([pa.array([frame(shard, number, before, doc_ids, ends, np.concatenate(parts), bits)], pa.binary())], ["frame"])
 
         for batch in batches:
-            for a, b in slices(batch, "text", ENCODE_BYTES):
+            for a, b in slices(batch, "text", LEAN_BYTES if short else ENCODE_BYTES):
                 part = batch.slice(a, b - a)
                 ids, counts = enc.encode(part.column("text"))
                 stops = np.cumsum(counts)
@@ -305,9 +309,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenised(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str | None = None, short: bool = False) -> DataFrame:
+    """Token files of ``docs``, read back; ``short`` is for workers with little memory left."""
     path = shared_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer or tokenizer_path())
+    write_tokens(docs, path, tokenizer or tokenizer_path(), short=short)
     return read_tokens(docs.sparkSession, path)
 
 
